@@ -1,10 +1,12 @@
 """The opN_ queries and their SQL."""
 
 from .exact import OP2_SQL, op2_exact_dedup
+from .neardup import op6_near_duplicates
 from .mixing import OP1_SQL, op1_weighted_mix
 
 QUERIES = {
     "op1_weighted_mix": op1_weighted_mix,
     "op2_exact_dedup": op2_exact_dedup,
+    "op6_near_duplicates": op6_near_duplicates,
 }
 ORACLE_SQL = {"op1_weighted_mix": OP1_SQL, "op2_exact_dedup": OP2_SQL}
