@@ -4,9 +4,12 @@ from .exact import OP2_SQL, op2_exact_dedup
 from .neardup import op6_near_duplicates
 from .mixing import OP1_SQL, op1_weighted_mix
 
+from .substrings import op3_repeated_substrings
+
 QUERIES = {
     "op1_weighted_mix": op1_weighted_mix,
     "op2_exact_dedup": op2_exact_dedup,
+    "op3_repeated_substrings": op3_repeated_substrings,
     "op6_near_duplicates": op6_near_duplicates,
 }
 ORACLE_SQL = {"op1_weighted_mix": OP1_SQL, "op2_exact_dedup": OP2_SQL}
