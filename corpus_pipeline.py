@@ -1,11 +1,69 @@
-"""Corpus pipeline: stages that each take and return documents; the last returns what the token files hold."""
+"""Corpus pipeline over ``documents``: each stage takes what its predecessor kept.
 
-STAGES = []
+The stages select, drop or repeat rows and never change a text. No stage can be expressed whole in SQL
+(a fitted classifier, sketches and a tokenizer), so ``ORACLE_SQL`` is None and the tests compare with
+brute force. Null texts, empty tables and extra columns are treated as the operators' docstrings say.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from sliceloom.llm import decontaminate, mixing, neardup, quality, tokens
+from sliceloom.llm.common import table
+
+
+def _rows_of(docs: DataFrame, ids: DataFrame, how: str) -> DataFrame:
+    chosen = ids.select(F.col("doc_id").alias("_chosen")).distinct()
+    return docs.join(chosen, docs["doc_id"].eqNullSafe(chosen["_chosen"]), how)
+
+
+def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the compression classifier predicts to be good (score of at least 0.3)."""
+    model = quality.fit(docs, table(spark, sf_dir, "labels"))
+    return _rows_of(docs, quality.scored(docs, model).where("predicted = 1"), "left_semi")
+
+
+def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The smallest doc_id of each near-duplicate group (five words, similarity 0.8), and documents without words."""
+    return _rows_of(docs, neardup.near_duplicates(docs, k=5, percent=80).where("kept"), "left_semi")
+
+
+def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold no benchmark item."""
+    return _rows_of(docs, decontaminate.leaks(docs, table(spark, sf_dir, "benchmark")), "left_anti")
+
+
+def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents as often as the mix takes them: whole texts only, the copy cut by the budget if half of it is served.
+
+    Rows that share a doc_id are repeated alike. Documents without words give the mix nothing and go.
+    """
+    queue = mixing.queued(mixing.sized(docs))
+    taken = sum((F.when((mixing.served(i) > 0) & (mixing.served(i) * 2 >= F.col("size")), 1).otherwise(0) for i in range(mixing.REPEATS)), F.lit(0))
+    times = queue.groupBy(F.col("doc_id").alias("_id")).agg(F.max(taken).alias("_times")).where("_times > 0")
+    held = docs.join(times, docs["doc_id"].eqNullSafe(times["_id"]))
+    return held.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_times")))).select(*(docs[c] for c in docs.columns))
+
+
+def token_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token files in doc_id order, and of each row what they hold: doc_id, start, n_tokens, ids_crc32."""
+    return tokens.tokenized(docs, tokens.vocabulary_path())
+
+
+STAGES = [
+    ("quality", quality_stage),
+    ("near_duplicates", near_duplicate_stage),
+    ("decontamination", decontamination_stage),
+    ("mixing", mixing_stage),
+    ("tokens", token_stage),
+]
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
     for _, stage in STAGES:
         docs = stage(spark, docs, sf_dir)
     return docs
