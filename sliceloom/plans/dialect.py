@@ -1,0 +1,70 @@
+"""One relational text per query, rendered for Spark and for DuckDB.
+
+``{name}`` is a table; ``[[f:a|b]]`` a function that the two spell differently. Everything else is common.
+"""
+
+from __future__ import annotations
+
+import re
+
+from pyspark.sql import DataFrame, SparkSession
+
+TABLES = ("events", "orders", "lineitem", "customer", "documents")
+
+SPARK = {
+    "micros": "unix_micros(cast({0} as timestamp))",
+    "div": "({0} div {1})",
+    "json": "get_json_object({0}, '$.{1}')",
+    "bytes": "octet_length({0})",
+    "floor": "cast(floor({0}) as bigint)",
+    "ceil": "cast(ceil({0}) as bigint)",
+    "series": "explode(sequence({0}, {1}))",
+    "join_list": "array_join(transform(array_sort(collect_list({0})), x -> cast(x as string)), ',')",
+    "join_pairs": "array_join(transform(array_sort(collect_list(named_struct('k', {0}, 'n', {1}))), x -> concat(x.k, '=', cast(x.n as string))), ',')",
+    "b64": "regexp_replace(base64(encode({0}, 'UTF-8')), '[\\\\r\\\\n]', '')",
+    "re_all": "regexp_replace({0}, {1}, {2})",
+    "re_get": "regexp_extract({0}, {1}, {2})",
+    "double": "cast({0} as double)",
+    "trim": "regexp_replace({0}, '^[\\\\s]+|[\\\\s]+$', '')",
+    "hash": "crc32(cast({0} as string))",
+    "pos": "instr({0}, {1})",
+}
+DUCK = SPARK | {
+    "micros": "epoch_us({0})",
+    "div": "({0} // {1})",
+    "json": "json_extract_string({0}, '$.{1}')",
+    "bytes": "octet_length(encode({0}))",
+    "series": "unnest(generate_series({0}, {1}))",
+    "join_list": "coalesce(string_agg(cast({0} as varchar), ',' order by {0}), '')",
+    "join_pairs": "coalesce(string_agg(concat({0}, '=', cast({1} as varchar)), ',' order by {0}), '')",
+    "b64": "base64(encode({0}))",
+    "re_all": "regexp_replace({0}, {1}, {2}, 'g')",
+    "trim": "regexp_replace({0}, '^[\\s]+|[\\s]+$', '', 'g')",
+}
+
+
+def render(text: str, words: dict[str, str]) -> str:
+    def one(m: re.Match) -> str:
+        return words[m[1]].format(*m[2].split("|"))
+
+    while "[[" in text:
+        text = re.sub(r"\[\[(\w+):((?:(?!\[\[|\]\]).)*)\]\]", one, text, flags=re.S)
+    return text
+
+
+def duck(text: str) -> str:
+    out = render(text, DUCK)
+    for t in TABLES:
+        out = out.replace("{" + t + "}", t)
+    return out
+
+
+def spark_query(text: str):
+    """The query as (spark, sf_dir) -> DataFrame; tables are scanned with the columns and filters it needs."""
+    body = render(text, SPARK)
+    used = [t for t in TABLES if "{" + t + "}" in body]
+
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        return spark.sql(body, **{t: spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in used})
+
+    return run
