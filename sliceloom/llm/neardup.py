@@ -6,7 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import by_size, lower_ascii, materialize, mix, shingle_hashes, table, utf8, word_hashes, words
@@ -14,6 +14,8 @@ from .components import components
 
 COORDINATES, ROWS = 96, 4
 BANDS = COORDINATES // ROWS
+#: Members of each bucket that all others are compared with first. A bucket of two has one pair, however many.
+HUBS = 4
 #: Bytes of a shingle's hash that verification compares: chance equals in a pair of 1,000-shingle sets, 1 in 10^8.
 WIDTH = 6
 
@@ -124,12 +126,45 @@ def _linked(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return both.mapInArrow(_verify(percent), "u long, v long")
 
 
+def _tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in by_size(batches, "blob"):
+        h = [_unpack(b) for b in batch.column(2).to_pylist()]
+        n = np.array([len(x) for x in h], np.int64)
+        ids, c = (np.repeat(batch.column(i).to_numpy(), n) for i in (0, 1))
+        flat = np.concatenate(h).view(np.int64) if len(h) else np.zeros(0, np.int64)
+        for a in range(0, len(flat), 1 << 17):
+            b = a + (1 << 17)
+            yield pa.RecordBatch.from_arrays([ids[a:b], c[a:b], np.repeat(n, n)[a:b], flat[a:b]], names=["id", "c", "n", "s"])
+
+
+def _prefix_pairs(sets: DataFrame, percent: int) -> DataFrame:
+    """Pairs of ``sets`` (id, c, blob) of different c that may be as similar as ``percent``: none is missed.
+
+    If two sets are that similar, the rarest n - ceil(n * percent / 100) + 1 shingles of each meet. In a
+    large group of texts with edits of their own these are the edits, which no other text has, so the
+    group makes few pairs although all its texts share most shingles.
+    """
+    tokens = sets.select("id", "c", "blob").mapInArrow(_tokens, "id long, c long, n long, s long")
+    often = tokens.groupBy("s").agg(F.count(F.lit(1)).alias("f")).where("f > 1")
+    common = tokens.join(often, "s")
+    by_id = Window.partitionBy("id")
+    own = F.col("n") - F.count(F.lit(1)).over(by_id)
+    place = own + F.row_number().over(by_id.orderBy("f", "s"))
+    prefix = common.withColumn("place", place).where(F.col("place") <= F.col("n") - F.ceil(F.col("n") * percent / 100) + 1).select("id", "c", "n", "s", "place")
+    prefix = materialize(prefix, "prefixes")
+    other = prefix.select("s", F.col("id").alias("u"), F.col("n").alias("m"), F.col("c").alias("d"), F.col("place").alias("q"))
+    # where s is the first shingle that the two share, they share at most it and what follows in either
+    most = F.least(F.col("n") - F.col("place"), F.col("m") - F.col("q")) + 1
+    alike = most * (100 + percent) >= (F.col("n") + F.col("m")) * percent
+    return prefix.join(other, "s").where((F.col("u") < F.col("id")) & (F.col("c") != F.col("d")) & alike).select("u", F.col("id").alias("v")).distinct()
+
+
 def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     """Components of documents whose k-word shingle sets have 100 * |A and B| >= percent * |A or B|.
 
     Equal sets are one class from the start, so copies are never paired. Classes that share a band are
-    candidates: first each with the least class of its bucket, then, where a bucket still has several
-    components, across these only. Every candidate is verified on the full sets. Two classes with
+    candidates: first each with a few hubs of its bucket, then, where a bucket still has several
+    components, those of their classes whose rarest shingles meet. Every candidate is verified on the full sets. Two classes with
     similarity 0.8 share none of 24 bands of 4 with probability 3e-6.
 
     Null and empty text, and text without words, have an empty set and link with nothing. Rows with a
@@ -144,22 +179,22 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
     classes = live.groupBy("n", "s1", "s2").agg(F.min("doc_id").alias("id"), F.first("bands").alias("bands"))
     classes = materialize(classes, "classes")
     keys = classes.select("id", "n", F.explode("bands").alias("key"))
-    shared = keys.groupBy("key").agg(F.min("id").alias("hub"), F.count(F.lit(1)).alias("c")).where("c > 1").select("key", "hub")
+    hubs = [F.min("id")] + [F.min(F.struct(F.xxhash64("id", F.lit(r)), "id"))["id"] for r in range(1, HUBS)]
+    shared = keys.groupBy("key").agg(F.array_distinct(F.array(*hubs)).alias("hubs"), F.count(F.lit(1)).alias("c")).where("c > 1").select("key", "hubs")
     members = materialize(keys.join(shared, "key"), "buckets")
 
     ids = members.select("id").distinct()
     wanted = text.join(ids, text["doc_id"] == ids["id"], "left_semi")
     sets = materialize(wanted.mapInArrow(_set_rows(k), "id long, blob binary").dropDuplicates(["id"]), "sets")
-    stars = members.where("id != hub").select(F.col("hub").alias("u"), F.col("id").alias("v")).distinct()
+    spokes = members.select("id", F.explode("hubs").alias("hub")).where("id != hub")
+    stars = spokes.select(F.least("hub", "id").alias("u"), F.greatest("hub", "id").alias("v")).distinct()
     linked = materialize(_linked(stars, sets, percent), "links")
     part = components(linked)
 
-    named = members.join(part, "id", "left").select("key", "id", "n", F.coalesce("component", "id").alias("c"))
+    named = members.join(part, "id", "left").select("key", "id", F.coalesce("component", "id").alias("c"))
     split = named.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo != hi").select("key")
-    open_ = materialize(named.join(split, "key"), "open")
-    other = open_.select("key", F.col("id").alias("u"), F.col("n").alias("m"), F.col("c").alias("d"))
-    alike = (F.col("n") * 100 >= F.col("m") * percent) & (F.col("m") * 100 >= F.col("n") * percent)
-    cross = open_.join(other, "key").where((F.col("u") < F.col("id")) & (F.col("c") != F.col("d")) & alike).select("u", F.col("id").alias("v")).distinct()
+    open_ = materialize(named.join(split, "key").select("id", "c").distinct(), "open")
+    cross = _prefix_pairs(sets.join(open_, "id"), percent)
     more = _linked(cross, sets, percent)
     final = materialize(components(linked.union(more)), "components")
 

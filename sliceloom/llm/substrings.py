@@ -8,6 +8,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
@@ -65,6 +66,17 @@ def anchors(raw: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, n
     return least[at], starts[at], starts[last], which[at]
 
 
+def _short(h: np.ndarray) -> np.ndarray:
+    """The upper 5 bytes of each hash: enough to propose anchors, as strings are compared in full later."""
+    return np.ascontiguousarray(h.view(np.uint8).reshape(-1, 8)[:, 3:])
+
+
+def _long(data: bytes, n: int) -> np.ndarray:
+    wide = np.zeros((n, 8), np.uint8)
+    wide[:, 3:] = np.frombuffer(data, np.uint8, 5 * n).reshape(n, 5)
+    return wide.reshape(-1).view(np.uint64)
+
+
 def _pack(*parts: np.ndarray) -> bytes:
     return zstandard.ZstdCompressor(level=1).compress(b"".join(np.ascontiguousarray(p).tobytes() for p in parts))
 
@@ -97,10 +109,10 @@ def _offer(buckets: int):
             h, which = h[first], which[first]
             bucket = (h % np.uint64(buckets)).astype(np.int64)
             order = np.argsort(bucket, kind="stable")
-            h, which, bucket = h[order], which[order], bucket[order]
+            h, which, bucket = _short(h[order]), which[order], bucket[order]
             cuts = np.flatnonzero(np.append(True, bucket[1:] != bucket[:-1])) if len(h) else np.zeros(0, int)
             out = [(-1 - chunk, chunk, 1, _pack(_ids(batch.column(0)), _ids(batch.column(1))))]
-            for a, b in zip(cuts, np.append(cuts[1:], len(h)), strict=True):
+            for a, b in zip(cuts, np.append(cuts[1:], len(which)), strict=True):
                 out.append((int(bucket[a]), chunk, 0, _pack(h[a:b], np.diff(which[a:b], prepend=0).astype(np.int32))))
             yield _rows(["key", "chunk", "kind", "payload"], out)
             chunk += 1
@@ -120,9 +132,9 @@ def _answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     hashes, whiches, sizes = [], [], []
     for _, payload in blobs:
         data = _open(payload)
-        n = len(data) // 12
-        hashes.append(np.frombuffer(data, np.uint64, n))
-        whiches.append(np.cumsum(np.frombuffer(data, np.int32, n, 8 * n)).astype(np.int32))
+        n = len(data) // 9
+        hashes.append(_long(data, n))
+        whiches.append(np.cumsum(np.frombuffer(data, np.int32, n, 5 * n)).astype(np.int32))
         sizes.append(n)
     if not blobs:
         return
@@ -138,7 +150,7 @@ def _answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at = shared[cut[i] : cut[i + 1]]
         if len(at):
             hot = (total[at] > HOT).astype(np.uint8)
-            yield _rows(["chunk", "kind", "payload"], [(chunk, 0, _pack(h[at], which[at], hot))])
+            yield _rows(["chunk", "kind", "payload"], [(chunk, 0, _pack(_short(h[at]), which[at], hot))])
 
 
 def _address(group: pd.DataFrame) -> pd.DataFrame:
@@ -147,17 +159,17 @@ def _address(group: pd.DataFrame) -> pd.DataFrame:
     n = len(names) // 16
     ids, rids = np.frombuffer(names, np.int64, n), np.frombuffer(names, np.int64, n, 8 * n)
     parts = [_open(p) for p in group.loc[group["kind"] == 0, "payload"]]
-    m = [len(p) // 13 for p in parts]
+    m = [len(p) // 10 for p in parts]
     if not parts:
         return pd.DataFrame({"doc_id": ids[:0], "rid": rids[:0], "shared": np.zeros(0, object)})
-    h = np.concatenate([np.frombuffer(p, np.uint64, k) for p, k in zip(parts, m, strict=True)])
-    which = np.concatenate([np.frombuffer(p, np.int32, k, 8 * k) for p, k in zip(parts, m, strict=True)])
-    hot = np.concatenate([np.frombuffer(p, np.uint8, k, 12 * k) for p, k in zip(parts, m, strict=True)])
+    h = np.concatenate([_long(p, k) for p, k in zip(parts, m, strict=True)])
+    which = np.concatenate([np.frombuffer(p, np.int32, k, 5 * k) for p, k in zip(parts, m, strict=True)])
+    hot = np.concatenate([np.frombuffer(p, np.uint8, k, 9 * k) for p, k in zip(parts, m, strict=True)])
     order = np.argsort(which, kind="stable")
     h, which, hot = h[order], which[order], hot[order]
     docs, at = np.unique(which, return_index=True)
     ends = np.append(at[1:], len(which))
-    blobs = [h[a:b].tobytes() + hot[a:b].tobytes() for a, b in zip(at, ends, strict=True)]
+    blobs = [_short(h[a:b]).tobytes() + hot[a:b].tobytes() for a, b in zip(at, ends, strict=True)]
     return pd.DataFrame({"doc_id": ids[docs], "rid": rids[docs], "shared": blobs})
 
 
@@ -183,7 +195,7 @@ def _extract(buckets: int):
     """Pass 2: around each shared anchor the bytes of its strings, by bucket of the anchor (hot: of the string)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in by_size(batches, "text"):
+        for batch in by_size((b.filter(pc.and_(b.column(3).is_valid(), b.column(4).is_null())) for b in batches), "text"):
             raw, off = utf8(batch.column(2))
             ids, rids = _ids(batch.column(0)), _ids(batch.column(1))
             h, first, last, which = anchors(raw, off)
@@ -191,11 +203,11 @@ def _extract(buckets: int):
             lo = np.searchsorted(which, np.arange(len(ids) + 1))
             for d, blob in enumerate(batch.column(3).to_pylist()):
                 if blob:
-                    n = len(blob) // 9
-                    want, warm = np.frombuffer(blob, np.uint64, n), np.frombuffer(blob, np.uint8, n, 8 * n)
+                    n = len(blob) // 6
+                    want, warm = _long(blob, n), np.frombuffer(blob, np.uint8, n, 5 * n)
                     order = np.argsort(want)
                     want, warm = want[order], warm[order]
-                    own = h[lo[d] : lo[d + 1]]
+                    own = h[lo[d] : lo[d + 1]] & ~np.uint64(0xFFFFFF)
                     at = np.minimum(np.searchsorted(want, own), n - 1)
                     keep[lo[d] : lo[d + 1]] = want[at] == own
                     hot[lo[d] : lo[d + 1]] = (want[at] == own) & (warm[at] > 0)
@@ -380,9 +392,10 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
     shared = told.groupBy("chunk").applyInPandas(_address, "doc_id long, rid long, shared binary")
     shared = shared.groupBy("doc_id", "rid").agg(F.first("shared").alias("shared"))
     dealt = rows.repartition(parts, "doc_id", "rid")
-    asked = dealt.join(shared, ["doc_id", "rid"]).join(copies, ["doc_id", "rid"], "left_anti")
-    matched = asked.select("doc_id", "rid", "text", "shared").mapInArrow(_extract(buckets), "key long, payload binary").repartition(parts, "key").mapInArrow(_match, "doc_id long, rid long, spans binary")
-    spans = materialize(matched.groupBy("doc_id", "rid").agg(F.collect_list("spans").alias("spans")), "spans")
+    # both uses of the texts are left joins of one exchange, so that the second reuses the first's files
+    asked = dealt.join(shared, ["doc_id", "rid"], "left").join(copies, ["doc_id", "rid"], "left")
+    sent = asked.select("doc_id", "rid", "text", "shared", "copy").mapInArrow(_extract(buckets), "key long, payload binary").repartition(parts, "key")
+    spans = sent.mapInArrow(_match, "doc_id long, rid long, spans binary").groupBy("doc_id", "rid").agg(F.collect_list("spans").alias("spans"))
     final = dealt.join(spans, ["doc_id", "rid"], "left").join(copies, ["doc_id", "rid"], "left")
     return final.select("doc_id", "text", "copy", "spans").mapInArrow(_remove, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, spans array<long>")
 
