@@ -22,7 +22,11 @@ KGRAM = 24
 SPAN = LENGTH - KGRAM + 1
 #: An anchor that more batches than this hold is dealt by its whole strings instead.
 HOT = 256
-TASK_BYTES = 4 << 20
+TASK_BYTES = 16 << 20
+#: Bytes of strings that a task gathers by bucket before it sends them.
+SEND_BYTES = 24 << 20
+#: Buckets that one row holds: they travel together, and are matched one after another.
+SECTIONS = 4
 _TOP = np.uint64(0xFFFFFFFFFFFFFFFF)
 
 
@@ -66,6 +70,15 @@ def anchors(raw: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, n
     return least[at], starts[at], starts[last], which[at]
 
 
+def _same(raw: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Whether raw[a : a + LENGTH] equals raw[b : b + LENGTH], eight bytes at a time."""
+    eight = np.ndarray((max(0, len(raw) - 7),), np.uint64, np.ascontiguousarray(raw), strides=(1,))
+    same = np.ones(len(a), bool)
+    for k in (*range(0, LENGTH - 7, 8), LENGTH - 8):
+        same &= eight[a + k] == eight[b + k]
+    return same
+
+
 def _short(h: np.ndarray) -> np.ndarray:
     """The upper 5 bytes of each hash: enough to propose anchors, as strings are compared in full later."""
     return np.ascontiguousarray(h.view(np.uint8).reshape(-1, 8)[:, 3:])
@@ -85,6 +98,20 @@ def _open(blob: bytes) -> bytes:
     return zstandard.ZstdDecompressor().decompress(blob)
 
 
+def _strings(ids: np.ndarray, *more: np.ndarray) -> bytes:
+    return b"".join(np.ascontiguousarray(x).tobytes() for x in (np.array([len(ids)], np.int64), ids, *more))
+
+
+def _sectioned(sections: list[bytes]) -> bytes:
+    return zstandard.ZstdCompressor(level=1).compress(np.array([len(x) for x in sections], np.int64).tobytes() + b"".join(sections))
+
+
+def _sections(blob: bytes) -> list[bytes]:
+    data = memoryview(_open(blob))
+    ends = 8 * SECTIONS + np.cumsum(np.frombuffer(data, np.int64, SECTIONS))
+    return [data[a:b] for a, b in zip(np.append(8 * SECTIONS, ends[:-1]), ends, strict=True)]
+
+
 def _ids(column: pa.Array) -> np.ndarray:
     return np.asarray(column.to_numpy(zero_copy_only=False), np.int64)
 
@@ -94,6 +121,27 @@ def _rows(names: list[str], rows: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], kinds[n]) for i, n in enumerate(names)], names=names)
 
 
+def _squeeze(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Texts as they are shuffled: compressed, with their size."""
+    z = zstandard.ZstdCompressor(level=1)
+    for batch in by_size(batches, "text"):
+        raw, off = utf8(batch.column(2))
+        blobs = [z.compress(raw[a:b]) for a, b in zip(off[:-1], off[1:], strict=True)]
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), np.diff(off), pa.array(blobs, pa.binary())], names=["doc_id", "rid", "n", "body"])
+
+
+def _texts(batch: pa.RecordBatch, most: int = 2 << 20) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
+    """The rows in batches of about ``most`` text bytes, with their texts end to end and the offsets."""
+    z, sizes, at = zstandard.ZstdDecompressor(), batch.column(2).to_numpy(), 0
+    off = np.append(0, np.cumsum(sizes))
+    while at < batch.num_rows:
+        end = max(at + 1, int(np.searchsorted(off, off[at] + most, "right")) - 1)
+        part = batch.slice(at, end - at)
+        raw = np.frombuffer(b"".join(z.decompress(b) if n else b"" for b, n in zip(part.column(3).to_pylist(), sizes[at:end], strict=True)), np.uint8)
+        yield part, raw, off[at : end + 1] - off[at]
+        at = end
+
+
 def _offer(buckets: int):
     """Pass 1: the distinct anchors of each document, by bucket of hash; and which documents a chunk has."""
 
@@ -185,9 +233,7 @@ def _settled(raw: np.ndarray, at: np.ndarray, doc: np.ndarray) -> tuple[np.ndarr
     new = np.append(True, h[order][1:] != h[order][:-1])
     head = np.empty(len(at), np.int64)
     head[order] = order[np.flatnonzero(new)[np.cumsum(new) - 1]]
-    step = np.arange(LENGTH)
-    same = np.concatenate([(raw[at[i : i + 65536, None] + step] == raw[at[head[i : i + 65536], None] + step]).all(axis=1) for i in range(0, len(at), 65536)])
-    done = same & (doc[head] < doc)
+    done = _same(raw, at, at[head]) & (doc[head] < doc)
     return done, ~done
 
 
@@ -195,13 +241,23 @@ def _extract(buckets: int):
     """Pass 2: around each shared anchor the bytes of its strings, by bucket of the anchor (hot: of the string)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in by_size((b.filter(pc.and_(b.column(3).is_valid(), b.column(4).is_null())) for b in batches), "text"):
-            raw, off = utf8(batch.column(2))
+        held: dict[int, list[tuple[np.ndarray, ...]]] = {}
+        size_held = 0
+
+        def send() -> pa.RecordBatch:
+            rows = []
+            for key in sorted({bucket // SECTIONS for bucket in held}):
+                parts = [held.pop(key * SECTIONS + i, None) for i in range(SECTIONS)]
+                rows.append((key, _sectioned([b"" if p is None else _strings(*(np.concatenate(x) for x in zip(*p, strict=True))) for p in parts])))
+            return _rows(["key", "payload"], rows)
+
+        live = (b.filter(pc.and_(b.column(4).is_valid(), b.column(5).is_null())) for b in batches)
+        for batch, raw, off in (part for b in live for part in _texts(b)):
             ids, rids = _ids(batch.column(0)), _ids(batch.column(1))
             h, first, last, which = anchors(raw, off)
             keep, hot = np.zeros(len(h), bool), np.zeros(len(h), bool)
             lo = np.searchsorted(which, np.arange(len(ids) + 1))
-            for d, blob in enumerate(batch.column(3).to_pylist()):
+            for d, blob in enumerate(batch.column(4).to_pylist()):
                 if blob:
                     n = len(blob) // 6
                     want, warm = _long(blob, n), np.frombuffer(blob, np.uint8, n, 5 * n)
@@ -218,7 +274,7 @@ def _extract(buckets: int):
             done, ready = _settled(raw, one, ids[which[each]])
             if done.any():
                 o, b = which[each[done]], one[done] - off[:-1][which[each[done]]]
-                yield _rows(["key", "payload"], [(-1 - int(o[0]), _pack(np.array([-len(o)], np.int64), ids[o], rids[o], b))])
+                yield _rows(["key", "payload"], [(-1 - int(o[0]), _sectioned([b"".join(x.tobytes() for x in (np.array([-len(o)], np.int64), ids[o], rids[o], b)), *[b""] * (SECTIONS - 1)]))])
             one, each = one[ready], each[ready]
             begin = np.concatenate((first[wide], one))
             size = np.concatenate(((last - first)[wide] + LENGTH, np.full(len(one), LENGTH))).astype(np.int64)
@@ -228,15 +284,17 @@ def _extract(buckets: int):
             order = np.argsort(bucket, kind="stable")
             begin, size, owner, bucket = begin[order], size[order], owner[order], bucket[order]
             cuts = np.flatnonzero(np.append(True, bucket[1:] != bucket[:-1])) if len(begin) else np.zeros(0, int)
-            out = []
             for a, b in zip(cuts, np.append(cuts[1:], len(begin)), strict=True):
                 total = np.cumsum(size[a:b])
                 take = np.repeat(begin[a:b] - (total - size[a:b]), size[a:b]) + np.arange(total[-1])
                 o = owner[a:b]
-                body = _pack(np.array([b - a], np.int64), ids[o], rids[o], (begin[a:b] - off[:-1][o]), size[a:b], raw[take])
-                out.append((int(bucket[a]), body))
-            if out:
-                yield _rows(["key", "payload"], out)
+                held.setdefault(int(bucket[a]), []).append((ids[o], rids[o], begin[a:b] - off[:-1][o], size[a:b], raw[take]))
+                size_held += int(total[-1])
+            if size_held > SEND_BYTES:
+                yield send()
+                size_held = 0
+        if held:
+            yield send()
 
     return run
 
@@ -251,23 +309,27 @@ class LevelledIndex:
     def __init__(self) -> None:
         self.levels: list[tuple[np.ndarray, np.ndarray]] = []
 
-    def add(self, h: np.ndarray, rows: np.ndarray) -> np.ndarray:
-        """For each suffix a row of an earlier batch with equal hash, or -1."""
-        found = np.full(len(h), -1, np.int64)
-        for keys, at in self.levels:
-            i = np.minimum(np.searchsorted(keys, h), len(keys) - 1)
-            found = np.where((found < 0) & (keys[i] == h), at[i], found)
-        new, first = np.unique(h, return_index=True)
-        fresh = found[first] < 0
-        level = (new[fresh], rows[first][fresh])
-        while self.levels and len(self.levels[-1][0]) <= len(level[0]):
-            old = self.levels.pop()
-            keys, at = np.concatenate((old[0], level[0])), np.concatenate((old[1], level[1]))
+    def add(self, h: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """For each suffix a row of an earlier batch with equal hash, or -1; and the first place in this batch with its hash."""
+        order = np.argsort(h, kind="stable")
+        new = np.flatnonzero(np.append(True, h[order][1:] != h[order][:-1]))
+        keys, size = h[order[new]], np.diff(np.append(new, len(h)))
+        old = np.full(len(keys), -1, np.int64)
+        for level, at in self.levels:
+            i = np.minimum(np.searchsorted(level, keys), len(level) - 1)
+            old = np.where((old < 0) & (level[i] == keys), at[i], old)
+        found, head = np.empty(len(h), np.int64), np.empty(len(h), np.int64)
+        found[order], head[order] = np.repeat(old, size), np.repeat(order[new], size)
+        fresh = old < 0
+        keys, at = keys[fresh], rows[order[new[fresh]]]
+        while self.levels and len(self.levels[-1][0]) <= len(keys):
+            more = self.levels.pop()
+            keys, at = np.concatenate((more[0], keys)), np.concatenate((more[1], at))
             order = np.argsort(keys, kind="stable")
-            level = (keys[order], at[order])
-        if len(level[0]):
-            self.levels.append(level)
-        return found
+            keys, at = keys[order], at[order]
+        if len(keys):
+            self.levels.append((keys, at))
+        return found, head
 
 
 def _earlier(raw: np.ndarray, at: np.ndarray, doc: np.ndarray, batch: int = 1 << 16) -> np.ndarray:
@@ -276,61 +338,95 @@ def _earlier(raw: np.ndarray, at: np.ndarray, doc: np.ndarray, batch: int = 1 <<
     found, index, a = np.full(len(at), -1, np.int64), LevelledIndex(), 0
     while a < len(at):
         b = int(np.searchsorted(doc, doc[min(a + batch, len(at)) - 1], "right"))
-        own = index.add(h[a:b], np.arange(a, b))
-        order = np.argsort(h[a:b], kind="stable")  # within the batch: the first of a hash is of the smallest doc
-        new = np.append(True, h[a:b][order][1:] != h[a:b][order][:-1])
-        head = np.empty(b - a, np.int64)
-        head[order] = order[np.flatnonzero(new)[np.cumsum(new) - 1]]
-        inside = doc[a:b][head] < doc[a:b]
+        own, head = index.add(h[a:b], np.arange(a, b))
+        inside = doc[a:b][head] < doc[a:b]  # the first of a hash is of the batch's smallest doc that has it
         found[a:b] = np.where(own >= 0, own, np.where(inside, head + a, -1))
         a = b
     hit = np.flatnonzero(found >= 0)
     for i in range(0, len(hit), 1 << 18):
         part = hit[i : i + (1 << 18)]
-        step = np.arange(LENGTH)
-        same = (raw[at[part][:, None] + step] == raw[at[found[part]][:, None] + step]).all(axis=1)
-        if not same.all():  # two strings share a hash: settle by the bytes
-            text = np.ascontiguousarray(raw[at[:, None] + step]).view(f"V{LENGTH}").reshape(-1)
+        if not _same(raw, at[part], at[found[part]]).all():  # two strings share a hash: settle by the bytes
+            text = np.ascontiguousarray(raw[at[:, None] + np.arange(LENGTH)]).view(f"V{LENGTH}").reshape(-1)
             seen: dict[bytes, int] = {}
             return np.array([seen.setdefault(t.tobytes(), d) < d for t, d in zip(text, doc, strict=True)], bool)
     return found >= 0
 
 
-def _match(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The strings of a partition's buckets that an earlier document has, as runs by document."""
-    parts: list[list[np.ndarray]] = []
-    sure: list[list[np.ndarray]] = []
-    for batch in batches:
-        for payload in batch.column(1).to_pylist():
-            data = _open(payload)
-            n = int(np.frombuffer(data, np.int64, 1)[0])
-            if n < 0:
-                sure.append([np.frombuffer(data, np.int64, -n, 8 - 8 * n * i) for i in range(3)])
-                continue
-            parts.append([np.frombuffer(data, np.int64, n, 8 + 8 * n * i) for i in range(4)] + [np.frombuffer(data, np.uint8, -1, 8 + 32 * n)])
-    if not parts and not sure:
-        return
-    none = np.zeros(0, np.int64)
-    ids, rids, begin, size, raw = (np.concatenate(p) for p in zip(*parts, strict=True)) if parts else (none, none, none, none, np.zeros(0, np.uint8))
-    parts.clear()
-    strings = size - LENGTH + 1
-    where = np.cumsum(size) - size
-    entry = np.repeat(np.arange(len(ids)), strings)
-    step = np.arange(len(entry)) - np.repeat(np.cumsum(strings) - strings, strings)
-    order = np.argsort(ids[entry], kind="stable")
-    entry, step = entry[order], step[order]
-    hit = _earlier(raw, where[entry] + step, ids[entry])
-    entry, start = entry[hit], (begin[entry] + step)[hit]
-    d, r, start = (np.concatenate((x, *y)) for x, y in zip((ids[entry], rids[entry], start), zip(*sure) if sure else [()] * 3, strict=True))
+def _runs(d: np.ndarray, r: np.ndarray, start: np.ndarray) -> list[np.ndarray]:
+    """(doc_id, rid, begin, end) of the runs that strings of LENGTH bytes at these starts make."""
     order = np.lexsort((start, r, d))
     d, r, start = d[order], r[order], start[order]
-    if not len(d):
+    new = np.ones(len(d), bool)
+    new[1:] = (d[1:] != d[:-1]) | (r[1:] != r[:-1]) | (start[1:] > start[:-1] + LENGTH)
+    at = np.flatnonzero(new)
+    return [d[at], r[at], start[at], start[np.append(at[1:], len(d)) - 1] + LENGTH if len(d) else start]
+
+
+def _bucket_runs(sections: list[bytes]) -> list[np.ndarray]:
+    """The strings of one bucket that an earlier document has, as runs."""
+    parts, sure = [], []
+    for data in sections:
+        n = int(np.frombuffer(data, np.int64, 1)[0])
+        if n < 0:
+            sure.append([np.frombuffer(data, np.int64, -n, 8 - 8 * n * i) for i in range(3)])
+        else:
+            parts.append([np.frombuffer(data, np.int64, n, 8 + 8 * n * i) for i in range(4)] + [np.frombuffer(data, np.uint8, -1, 8 + 32 * n)])
+    if parts:
+        ids, rids, begin, size, raw = (np.concatenate(p) for p in zip(*parts, strict=True))
+        strings = size - LENGTH + 1
+        where = np.cumsum(size) - size
+        order = np.argsort(ids, kind="stable")
+        strings = strings[order]
+        entry = np.repeat(order, strings)
+        step = np.arange(len(entry)) - np.repeat(np.cumsum(strings) - strings, strings)
+        hit = _earlier(raw, where[entry] + step, ids[entry])
+        entry, step = entry[hit], step[hit]
+        sure.append([ids[entry], rids[entry], begin[entry] + step])
+    return _runs(*(np.concatenate(x) for x in zip(*sure, strict=True)))
+
+
+def _match(parts: int):
+    """Bucket by bucket, what to remove; sent on as one row for each of the ``parts`` that documents are dealt to."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[int, list[bytes]] = {}
+        for batch in batches:
+            for key, payload in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                held.setdefault(max(key, -1), []).append(payload)
+        if not held:
+            return
+        found = []
+        for key in list(held):
+            for own in zip(*map(_sections, held.pop(key)), strict=True):
+                if any(own):
+                    found.append(_bucket_runs([x for x in own if len(x)]))
+        columns = [np.concatenate(x) for x in zip(*found, strict=True)]
+        to = (mix(columns[1].view(np.uint64)) % np.uint64(parts)).astype(np.int64)
+        order = np.argsort(to, kind="stable")
+        cuts = np.flatnonzero(np.append(True, to[order][1:] != to[order][:-1])) if len(to) else np.zeros(0, int)
+        rows = [(int(to[order[a]]), _pack(*(c[order[a:b]] for c in columns))) for a, b in zip(cuts, np.append(cuts[1:], len(to)), strict=True)]
+        yield _rows(["key", "payload"], rows)
+
+    return run
+
+
+def _gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """One row for each document: all its runs."""
+    found = []
+    for batch in batches:
+        for data in map(_open, batch.column(1).to_pylist()):
+            n = len(data) // 32
+            found.append([np.frombuffer(data, np.int64, n, 8 * n * i) for i in range(4)])
+    if not found:
         return
+    d, r, begin, end = (np.concatenate(x) for x in zip(*found, strict=True))
+    order = np.lexsort((begin, r, d))
+    d, r, pairs = d[order], r[order], np.stack((begin[order], end[order]), axis=1)
     cut = np.flatnonzero(np.append(True, (d[1:] != d[:-1]) | (r[1:] != r[:-1])))
+    ends = np.append(cut[1:], len(d))
     for at in range(0, len(cut), 4096):
         some = cut[at : at + 4096]
-        ends = np.append(cut[1:], len(d))[at : at + 4096]
-        blobs = [_spans(start[a:b], start[a:b] + LENGTH).tobytes() for a, b in zip(some, ends, strict=True)]
+        blobs = [pairs[a:b].tobytes() for a, b in zip(some, ends[at : at + 4096], strict=True)]
         yield pa.RecordBatch.from_arrays([d[some], r[some], pa.array(blobs, pa.binary())], names=["doc_id", "rid", "spans"])
 
 
@@ -344,13 +440,12 @@ def _spans(begin: np.ndarray, end: np.ndarray) -> np.ndarray:
 
 
 def _remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in by_size(batches, "text"):
-        raw, off = utf8(batch.column(1))
+    for batch, raw, off in (part for b in batches for part in _texts(b)):
         out = []
-        for d, (copy, blobs) in enumerate(zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)):
+        for d, (copy, blob) in enumerate(zip(batch.column(4).to_pylist(), batch.column(5).to_pylist(), strict=True)):
             own = raw[off[d] : off[d + 1]]
             n = len(own)
-            pairs = np.array([[0, n]]) if copy else np.concatenate([np.frombuffer(b, np.int64).reshape(-1, 2) for b in blobs or []] or [np.zeros((0, 2), np.int64)])
+            pairs = np.array([[0, n]]) if copy else np.frombuffer(blob or b"", np.int64).reshape(-1, 2)
             gone = _spans(pairs[:, 0], pairs[:, 1]) if len(pairs) else pairs
             keep, at = hashlib.sha256(), 0
             for a, b in gone:
@@ -384,20 +479,21 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
     tags = materialize(tags, "digests")
     total = tags.agg(F.sum("n")).first()[0] or 0
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), total // TASK_BYTES + 1)
-    buckets = 4 * parts
     firsts = tags.where(F.col("n") >= LENGTH).groupBy("sha").agg(F.min("doc_id").alias("first"), F.count(F.lit(1)).alias("c")).where("c > 1")
-    copies = tags.join(firsts, "sha").where("doc_id > first").select("doc_id", "rid", F.lit(True).alias("copy")).distinct()
+    copies = tags.join(firsts, "sha").where("doc_id > first").select("doc_id", "rid", F.lit(True).alias("copy"))
+    copies = materialize(copies.repartition(parts, "doc_id", "rid").distinct(), "copies")
     live = rows.where("doc_id IS NOT NULL")
-    told = live.mapInArrow(_offer(buckets), "key long, chunk long, kind int, payload binary").repartition(parts, "key").mapInArrow(_answer, "chunk long, kind int, payload binary")
+    told = live.mapInArrow(_offer(4 * parts), "key long, chunk long, kind int, payload binary").repartition(parts, "key").mapInArrow(_answer, "chunk long, kind int, payload binary")
     shared = told.groupBy("chunk").applyInPandas(_address, "doc_id long, rid long, shared binary")
-    shared = shared.groupBy("doc_id", "rid").agg(F.first("shared").alias("shared"))
-    dealt = rows.repartition(parts, "doc_id", "rid")
-    # both uses of the texts are left joins of one exchange, so that the second reuses the first's files
+    shared = shared.repartition(parts, "doc_id", "rid").groupBy("doc_id", "rid").agg(F.first("shared").alias("shared"))
+    dealt = rows.mapInArrow(_squeeze, "doc_id long, rid long, n long, body binary").repartition(parts, "doc_id", "rid")
+    copies = copies.repartition(parts, "doc_id", "rid")
+    # both uses of the texts are left joins of one exchange, so that the second reuses the first's files; all sides are dealt alike
     asked = dealt.join(shared, ["doc_id", "rid"], "left").join(copies, ["doc_id", "rid"], "left")
-    sent = asked.select("doc_id", "rid", "text", "shared", "copy").mapInArrow(_extract(buckets), "key long, payload binary").repartition(parts, "key")
-    spans = sent.mapInArrow(_match, "doc_id long, rid long, spans binary").groupBy("doc_id", "rid").agg(F.collect_list("spans").alias("spans"))
+    sent = asked.select("doc_id", "rid", "n", "body", "shared", "copy").mapInArrow(_extract(4 * SECTIONS * parts), "key long, payload binary").repartition(parts, "key")
+    spans = sent.mapInArrow(_match(parts), "key long, payload binary").repartition(parts, "key").mapInArrow(_gather, "doc_id long, rid long, spans binary").repartition(parts, "doc_id", "rid")
     final = dealt.join(spans, ["doc_id", "rid"], "left").join(copies, ["doc_id", "rid"], "left")
-    return final.select("doc_id", "text", "copy", "spans").mapInArrow(_remove, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, spans array<long>")
+    return final.select("doc_id", "rid", "n", "body", "copy", "spans").mapInArrow(_remove, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, spans array<long>")
 
 
 def op3_repeated_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
