@@ -85,14 +85,18 @@ class ItemIndex:
         Pivoting by bounds: an item whose essential terms a passage lacks cannot reach its threshold with
         the rest, so only pairs that share an essential term are scored, over all terms.
         """
-        live = np.unique(passage[(term >= 0) & self.hinge[term]]) if len(self.terms) else passage[:0]
-        keep = (term >= 0) & np.isin(passage, live)
-        pair = np.unique(np.stack((passage[keep], term[keep]), axis=1), axis=0)
+        known = np.flatnonzero(term >= 0)
+        passage, term = passage[known], term[known]
+        live = np.zeros(int(passage.max()) + 1 if len(passage) else 0, bool)
+        live[passage[self.hinge[term]]] = True
+        keep = live[passage]
+        pair = np.unique(passage[keep] * len(self.terms) + term[keep])
         if not len(pair):
             return (np.zeros(0, np.int64),) * 2 + (np.zeros(0),)
-        size = self.post_at[pair[:, 1] + 1] - self.post_at[pair[:, 1]]
-        post = np.repeat(self.post_at[pair[:, 1]] - (np.cumsum(size) - size), size) + np.arange(size.sum())
-        key = np.repeat(pair[:, 0], size) * len(self.ids) + self.post_item[post]
+        passage, term = pair // len(self.terms), pair % len(self.terms)
+        size = self.post_at[term + 1] - self.post_at[term]
+        post = np.repeat(self.post_at[term] - (np.cumsum(size) - size), size) + np.arange(size.sum())
+        key = np.repeat(passage, size) * len(self.ids) + self.post_item[post]
         hit = self.essential[post]
         wanted, code = np.unique(key[hit]), key
         inside = np.isin(code, wanted)
@@ -129,10 +133,13 @@ def _find(index: ItemIndex, similarity: float):
             d, item, score = d[order], item[order], score[order]
             first = np.append(True, (d[1:] != d[:-1]) | (item[1:] != item[:-1])) if len(d) else np.zeros(0, bool)
             rows = []
+            last, s = -1, h[:0]
             if first.any():
-                s, s_off = shingle_hashes(h, doc, SHINGLE)
                 for x, i, v in zip(d[first], item[first], score[first], strict=True):
-                    whole, question, answer = index.overlap(int(i), s[s_off[x] : s_off[x + 1]])
+                    if x != last:
+                        s, _ = shingle_hashes(h[doc[x] : doc[x + 1]], np.array([0, doc[x + 1] - doc[x]]), SHINGLE)
+                        last = x
+                    whole, question, answer = index.overlap(int(i), s)
                     if whole >= similarity or (question >= similarity and answer >= similarity):
                         rows.append((batch.column(0)[int(x)].as_py(), int(index.ids[i]), float(v), whole, question, answer))
             yield pa.RecordBatch.from_arrays([pa.array([r[j] for r in rows], k) for j, k in enumerate((pa.int64(), pa.int64(), *[pa.float64()] * 4))], names=["doc_id", "item_id", "bm25", "overlap", "question_overlap", "answer_overlap"])
