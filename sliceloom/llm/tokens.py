@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import os
 import struct
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -12,14 +14,16 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import by_size, materialize, shared_dir, table
+from .common import by_size, materialize, shared_dir, table, utf8, words
 from .files import write_file
 
 MAGIC = b"SLDAC1\0\0"
 CHUNK_BITS = 8
 RANK_BITS = 512
 #: A file is closed when it holds this many ids.
-FILE_IDS = 4 << 20
+FILE_IDS = 2 << 20
+#: Words that a worker remembers the ids of, from task to task; longer words are encoded each time.
+CACHE_WORDS, CACHE_BYTES = 1 << 19, 64
 END = 2
 _NULL = np.iinfo(np.int64).min
 
@@ -98,32 +102,83 @@ def open_file(data: bytes) -> tuple[np.ndarray, np.ndarray, Codes]:
     return np.frombuffer(data, np.int64, n, 16), np.frombuffer(data, np.int64, n, 16 + 8 * n), Codes.from_bytes(memoryview(data)[16 + 16 * n :])
 
 
-def _encode(vocabulary: str, end: int, folder: str):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+class WordEncoder:
+    """Ids of whole texts, from ids of their words.
+
+    The vocabulary's normalizer makes one space of any white space and its pattern drops white space, so no
+    token spans ASCII white space and a text's ids are those of its words, end to end. Each distinct word
+    of a batch is encoded once, and the frequent ones once a worker.
+    """
+
+    _kept: dict[str, WordEncoder] = {}
+
+    def __init__(self, vocabulary: str):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # the task has one core
         from tokenizers import Tokenizer
 
-        tokenizer = Tokenizer.from_file(vocabulary)
+        self.tokenizer, self.known = Tokenizer.from_file(vocabulary), {}
+
+    @classmethod
+    def of(cls, vocabulary: str) -> WordEncoder:
+        """This process's encoder of the vocabulary."""
+        if vocabulary not in cls._kept:
+            cls._kept[vocabulary] = cls(vocabulary)
+        return cls._kept[vocabulary]
+
+    def _word_ids(self, distinct: list[bytes]) -> list[bytes]:
+        """The ids of each word, as the bytes of unsigned 32-bit numbers."""
+        new = [w for w in distinct if w not in self.known]
+        codes = self.tokenizer.encode_batch_fast([w.decode() for w in new], add_special_tokens=False)
+        own = {w: array("I", c.ids).tobytes() for w, c in zip(new, codes, strict=True)}
+        out = [own[w] if w in own else self.known[w] for w in distinct]
+        if len(self.known) + len(own) > CACHE_WORDS:
+            self.known = {}
+        self.known.update((w, c) for w, c in own.items() if len(w) <= CACHE_BYTES)
+        return out
+
+    def encode(self, texts: pa.Array, end: int) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts end to end, each followed by ``end``, and how many each has."""
+        raw, off = utf8(texts)
+        starts, ends, doc = words(raw, off)
+        size = ends - starts
+        at = np.append(0, np.cumsum(size))
+        solid = raw[np.repeat(starts - at[:-1], size) + np.arange(at[-1])]
+        column = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(size), [None, pa.py_buffer(at.astype(np.int64)), pa.py_buffer(np.ascontiguousarray(solid))])
+        coded = column.dictionary_encode()
+        which, parts = coded.indices.to_numpy(), self._word_ids(coded.dictionary.to_pylist())
+        n = np.array([len(p) for p in parts], np.int64) // 4
+        flat, first = np.frombuffer(b"".join(parts), np.uint32), np.append(0, np.cumsum(n))
+        count = n[which]
+        total = np.append(0, np.cumsum(count))
+        ids = flat[np.repeat(first[which] - total[:-1], count) + np.arange(total[-1])]
+        length = total[doc[1:]] - total[doc[:-1]]
+        out = np.full(len(ids) + len(length), end, np.uint32)
+        out[np.arange(len(ids)) + np.repeat(np.arange(len(length)), length)] = ids
+        return out, length + 1
+
+
+def _encode(vocabulary: str, end: int, folder: str):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        encoder = WordEncoder.of(vocabulary)
         part, seq = TaskContext.get().partitionId(), 0
         names, sizes, ids, held = [], [], [], 0
 
         def close() -> pa.RecordBatch:
             nonlocal names, sizes, ids, held, seq
             name = f"{part:07d}-{seq:05d}"
-            write_file(f"{folder}/{name}.dac", pack_file(np.array(names, np.int64), np.array(sizes, np.int64), np.concatenate(ids)))
+            write_file(f"{folder}/{name}.dac", pack_file(np.concatenate(names), np.concatenate(sizes), np.concatenate(ids)))
             row = pa.RecordBatch.from_arrays([pa.array([name]), pa.array([held], pa.int64())], names=["file", "n"])
             names, sizes, ids, held, seq = [], [], [], 0, seq + 1
             return row
 
         for batch in by_size(batches, "text", 1 << 20):
-            texts = [t or "" for t in batch.column(1).to_pylist()]
-            for doc, code in zip(batch.column(0).to_pylist(), tokenizer.encode_batch(texts, add_special_tokens=False), strict=True):
-                own = np.array([*code.ids, end], np.uint32)
-                names.append(_NULL if doc is None else doc)
-                sizes.append(len(own))
-                ids.append(own)
-                held += len(own)
-                if held >= FILE_IDS:
-                    yield close()
+            own, length = encoder.encode(batch.column(1), end)
+            names.append(batch.column(0).fill_null(_NULL).to_numpy())
+            sizes.append(length)
+            ids.append(own)
+            held += len(own)
+            if held >= FILE_IDS:
+                yield close()
         if names:
             yield close()
 
