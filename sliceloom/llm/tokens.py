@@ -14,7 +14,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import by_size, materialize, shared_dir, table, utf8, words
+from .common import by_size, lower_ascii, materialize, shared_dir, table, utf8, words
 from .files import write_file
 
 MAGIC = b"SLDAC1\0\0"
@@ -102,12 +102,16 @@ def open_file(data: bytes) -> tuple[np.ndarray, np.ndarray, Codes]:
     return np.frombuffer(data, np.int64, n, 16), np.frombuffer(data, np.int64, n, 16 + 8 * n), Codes.from_bytes(memoryview(data)[16 + 16 * n :])
 
 
+#: 0 beyond ASCII, 1 letter, 2 digit, 3 other.
+_KINDS = np.array([0 if b > 127 else 1 if chr(b).isalpha() else 2 if chr(b).isdigit() else 3 for b in range(256)], np.uint8)
+
+
 class WordEncoder:
     """Ids of whole texts, from ids of their words.
 
     The vocabulary's normalizer makes one space of any white space and its pattern drops white space, so no
-    token spans ASCII white space and a text's ids are those of its words, end to end. Each distinct word
-    of a batch is encoded once, and the frequent ones once a worker.
+    token spans ASCII white space and a text's ids are those of its words, end to end. So are those of a
+    word's pieces: see ``_pieces``. Each distinct piece of a batch is encoded once, the frequent ones once a worker.
     """
 
     _kept: dict[str, WordEncoder] = {}
@@ -127,23 +131,50 @@ class WordEncoder:
 
     def _word_ids(self, distinct: list[bytes]) -> list[bytes]:
         """The ids of each word, as the bytes of unsigned 32-bit numbers."""
-        new = [w for w in distinct if w not in self.known]
-        codes = self.tokenizer.encode_batch_fast([w.decode() for w in new], add_special_tokens=False)
-        own = {w: array("I", c.ids).tobytes() for w, c in zip(new, codes, strict=True)}
-        out = [own[w] if w in own else self.known[w] for w in distinct]
-        if len(self.known) + len(own) > CACHE_WORDS:
+        out = list(map(self.known.get, distinct))
+        new = [i for i, x in enumerate(out) if x is None]
+        if len(self.known) + len(new) > CACHE_WORDS:
             self.known = {}
-        self.known.update((w, c) for w, c in own.items() if len(w) <= CACHE_BYTES)
+        codes = self.tokenizer.encode_batch_fast([distinct[i].decode() for i in new], add_special_tokens=False)
+        for i, code in zip(new, codes, strict=True):
+            out[i] = array("I", code.ids).tobytes()
+            if len(distinct[i]) <= CACHE_BYTES:
+                self.known[distinct[i]] = out[i]
         return out
 
+    @staticmethod
+    def _pieces(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The words' bytes end to end, n + 1 offsets of pieces into them, and the place of each word's first piece.
+
+        The pattern takes runs of letters, single digits, runs of others, and contractions. Words with an
+        apostrophe (contractions) or "<" (special tokens) stay whole; others are cut where two ASCII
+        characters of different kinds, or two digits, meet. Characters beyond ASCII may combine or be of
+        any kind, so nothing is cut next to them. Pieces of ASCII alone are put in lower case, as the
+        normalizer does.
+        """
+        size = ends - starts
+        at = np.append(0, np.cumsum(size))
+        solid = raw[np.repeat(starts - at[:-1], size) + np.arange(at[-1])]
+        if not len(solid):
+            return solid, np.zeros(1, np.int64), np.zeros(len(starts) + 1, np.int64)
+        kind = _KINDS[solid]
+        odd = np.append(0, np.cumsum((solid == 39) | (solid == 60)))
+        plain = np.repeat(odd[at[1:]] == odd[at[:-1]], size)
+        cut = np.zeros(len(solid) + 1, bool)
+        cut[1:-1] = plain[1:] & (kind[1:] > 0) & (kind[:-1] > 0) & ((kind[1:] != kind[:-1]) | (kind[1:] == 2))
+        cut[at] = True
+        off = np.flatnonzero(cut)
+        wide = np.append(0, np.cumsum(kind == 0))
+        ascii_ = np.repeat(wide[off[1:]] == wide[off[:-1]], np.diff(off))
+        return np.where(plain & ascii_, lower_ascii(solid), solid), off, np.searchsorted(off, at)
+
     def encode(self, texts: pa.Array, end: int) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts end to end, each followed by ``end``, and how many each has."""
         raw, off = utf8(texts)
         starts, ends, doc = words(raw, off)
-        size = ends - starts
-        at = np.append(0, np.cumsum(size))
-        solid = raw[np.repeat(starts - at[:-1], size) + np.arange(at[-1])]
-        column = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(size), [None, pa.py_buffer(at.astype(np.int64)), pa.py_buffer(np.ascontiguousarray(solid))])
+        solid, at, first = self._pieces(raw, starts, ends)
+        doc = first[doc]
+        column = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(at) - 1, [None, pa.py_buffer(at.astype(np.int64)), pa.py_buffer(np.ascontiguousarray(solid))])
         coded = column.dictionary_encode()
         which, parts = coded.indices.to_numpy(), self._word_ids(coded.dictionary.to_pylist())
         n = np.array([len(p) for p in parts], np.int64) // 4
@@ -171,7 +202,7 @@ def _encode(vocabulary: str, end: int, folder: str):
             names, sizes, ids, held, seq = [], [], [], 0, seq + 1
             return row
 
-        for batch in by_size(batches, "text", 1 << 20):
+        for batch in by_size(batches, "text", 3 << 20):
             own, length = encoder.encode(batch.column(1), end)
             names.append(batch.column(0).fill_null(_NULL).to_numpy())
             sizes.append(length)
