@@ -21,6 +21,8 @@ RETRIEVE = 0.5
 #: Items of one index block; a larger benchmark is scanned block by block.
 BLOCK_ITEMS = 20_000
 WINDOW = 128
+#: Text bytes that are looked up at a time: postings of their words take up to a hundred times as much.
+BATCH_BYTES = 1 << 20
 
 
 def _hashed(texts: list[str], k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -115,7 +117,7 @@ class ItemIndex:
 
 def _find(index: ItemIndex, similarity: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in by_size(batches, "text"):
+        for batch in by_size(batches, "text", BATCH_BYTES):
             raw, off = utf8(pc.utf8_lower(batch.column(1)))
             starts, ends, doc = words(raw, off)
             h = word_hashes(raw, starts, ends)

@@ -18,6 +18,8 @@ BANDS = COORDINATES // ROWS
 HUBS = 4
 #: Bytes of a shingle's hash that verification compares: chance equals in a pair of 1,000-shingle sets, 1 in 10^8.
 WIDTH = 6
+#: Text bytes that are cut into shingles at a time.
+BATCH_BYTES = 2 << 20
 
 
 def _seed(i: int) -> np.uint64:
@@ -66,7 +68,7 @@ def _sets(batch: pa.RecordBatch, k: int) -> tuple[np.ndarray, np.ndarray]:
 
 def _sketch_rows(k: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in by_size(batches, "text"):
+        for batch in by_size(batches, "text", BATCH_BYTES):
             h, off = _sets(batch, k)
             n = np.diff(off)
             some = n > 0
@@ -87,7 +89,7 @@ def _sketch_rows(k: int):
 
 def _set_rows(k: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in by_size(batches, "text"):
+        for batch in by_size(batches, "text", BATCH_BYTES):
             h, off = _sets(batch, k)
             cut = np.ascontiguousarray(h.view(np.uint8).reshape(-1, 8)[:, 8 - WIDTH :]).reshape(-1).tobytes()
             blobs = [cut[a * WIDTH : b * WIDTH] for a, b in zip(off[:-1], off[1:], strict=True)]
