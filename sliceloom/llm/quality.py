@@ -93,7 +93,8 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS) -> QualityMode
     for label in (0, 1):
         one = marks.where(F.col("label") == label).orderBy(F.xxhash64("id"), "id").limit(rows // 2)
         picked = one if picked is None else picked.union(one)
-    texts = docs.join(F.broadcast(picked), docs["doc_id"] == picked["id"]).select("id", "label", F.substring(docs["text"], 1, FIT_BYTES).alias("piece"))
+    pieces = docs.select(docs["doc_id"], F.substring(docs["text"], 1, FIT_BYTES).alias("piece"))
+    texts = pieces.join(F.broadcast(picked), pieces["doc_id"] == picked["id"]).select("id", "label", "piece")
     found = sorted(texts.select(F.xxhash64("id").alias("h"), "label", F.coalesce("piece", F.lit("")).alias("piece")).collect())
     by = {k: [r["piece"].encode() for r in found if r["label"] == k] for k in (0, 1)}
     if not by[0] or not by[1]:
