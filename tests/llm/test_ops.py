@@ -263,6 +263,42 @@ def test_lm(spark, odd, none):
     assert lm.scored(none, lm.fit(none)).count() == 0
 
 
+def test_lm_predicts_words(spark):
+    rng = np.random.default_rng(1)
+    names = [f"w{i}" for i in range(400)]
+    texts = [(d, " ".join(rng.choice(names, 60))) for d in range(40)]
+    docs = spark.createDataFrame([*texts, (40, texts[0][1]), (41, None)], "doc_id long, text string")
+    model = lm.fit(docs)
+    kind, logp, counts, _, known, _ = model
+    code = lambda w: int(lm._hashes(np.frombuffer(w.encode(), np.uint8), np.array([0, len(w)]))[0][0])
+    of = lambda w: int(kind[code(w) % lm.SLOTS])
+    # words of one class, made up ones included, are no longer worth the same
+    rare = next(w for w in names if of(w) <= lm.REST)
+    alike = next(f"gibberish{i}" for i in range(10_000) if of(f"gibberish{i}") == of(rare))
+    score = {r.doc_id: r.logprob for r in lm.scored(spark.createDataFrame([(1, rare), (2, alike)], "doc_id long, text string"), model).collect()}
+    assert score[1] > score[2]
+    # every word by hand
+    seen, cells = Counter(), Counter()
+    for _, t in [*texts, (40, texts[0][1])]:
+        w = t.split()
+        side = [0, *map(of, w), 0]
+        for i, x in enumerate(w):
+            seen[x] += 1
+            cells[x, side[i], side[i + 2]] += 1
+    total = counts.reshape(-1, lm.CLASSES)
+    want = 0
+    w = texts[3][1].split()
+    side = [0, *map(of, w), 0]
+    for i, x in enumerate(w):
+        ctx = side[i] * lm.CLASSES + side[i + 2]
+        prior = seen[x] / (total[:, of(x)].sum() + 1)
+        want += logp[ctx * lm.CLASSES + of(x)] + np.log((cells[x, side[i], side[i + 2]] + lm.PRIOR * prior) / (total[ctx, of(x)] + lm.PRIOR))
+    got = {r.doc_id: r.logprob for r in lm.scored(docs, model).collect()}
+    assert len(got) == 42 and abs(got[3] - want) < 1e-6 and got[0] == pytest.approx(got[40], abs=1e-9)
+    # what is gathered is every (word, left, right) of the corpus
+    assert sum(len(r.numbers) // 8 for r in known.collect()) == len(cells)
+
+
 def test_pipeline(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     kept = docs
