@@ -39,14 +39,15 @@ SELECT scenario_id, run_id, concat(run_id, ':slice-', cast(slice_index AS string
        [[bytes:run_id]] + 40 <= 1024 AS id_fits FROM w""",
     # token k at (k + 0.5) / rate, or with a burst b: b at 0, then every 1 / rate; only while before the end
     "pacing_schedule": f"""WITH {SCENARIOS}, {COUNTED}, {FANNED}, {SPLIT}, t AS (
-  SELECT scenario_id, slice_index, rate, burst, duration_ms, cast(k AS bigint) AS k FROM (SELECT *, [[series:0|[[ceil:rate * duration_ms / 1000]] + burst]] AS k FROM split WHERE duration_ms <= 5000) s)
+  SELECT scenario_id, slice_index, rate, burst, duration_ms, cast(k AS bigint) AS k FROM (SELECT *, [[series:0|[[ceil:rate * duration_ms / 1000]] + burst]] AS k FROM split) s)
 SELECT scenario_id, slice_index, k, CASE WHEN burst = 0 THEN (k + [[double:0.5]]) / rate WHEN k < burst THEN cast(0 AS double) ELSE (k - burst + 1) / rate END AS at_s
 FROM t WHERE CASE WHEN burst = 0 THEN (k + [[double:0.5]]) / rate WHEN k < burst THEN cast(0 AS double) ELSE (k - burst + 1) / rate END < [[double:duration_ms]] / 1000""",
     "zero_start": f"WITH {SCENARIOS} SELECT scenario_id, burst = 0 AND rate * duration_ms / 1000 < 1 AS to_dlq FROM scen",
-    # every window since the schedule began, without drift
+    # every window from the schedule's beginning to its end an hour later, without drift
     "dispatch_windows": """SELECT o_orderkey, cast(w AS bigint) AS scheduled_ms, cast(w + every_ms AS bigint) AS next_ms FROM (
   SELECT o_orderkey, every_ms, from_ms + every_ms * i AS w FROM (
-    SELECT o_orderkey, (o_orderkey % 5 + 1) * 60000 AS every_ms, [[div:[[micros:o_orderdate]]|1000]] AS from_ms, [[series:0|5]] AS i FROM {orders}) o) w""",
+    SELECT o_orderkey, every_ms, from_ms, [[series:0|[[div:3600000|every_ms]]]] AS i FROM (
+      SELECT o_orderkey, (o_orderkey % 5 + 1) * 60000 AS every_ms, [[div:[[micros:o_orderdate]]|1000]] AS from_ms FROM {orders}) s) o) w""",
     "retry_rows": """SELECT o_orderkey, attempt + 1 AS attempt, CASE WHEN attempt >= max_retries THEN NULL ELSE now_ms + 1000 * cast(power(2, least(attempt, 16)) AS bigint) END AS not_before_ms,
        CASE WHEN attempt >= max_retries THEN 'dlq' ELSE 'retry' END AS disposition
 FROM (SELECT o_orderkey, o_orderkey % 5 AS attempt, o_orderkey % 4 AS max_retries, [[div:[[micros:o_orderdate]]|1000]] AS now_ms FROM {orders}) o""",

@@ -1,9 +1,11 @@
 """Scalar functions, the protobuf codec, the run state machine and the sources, on small cases."""
 
+import datetime as dt
 import random
 
 import pytest
 
+from sliceloom import catalogue
 from sliceloom.functions import protobuf, scalars
 from sliceloom.sources import readers
 from sliceloom.streaming import runs
@@ -114,3 +116,24 @@ def test_sources(spark, tmp_path):
     assert [tuple(r) for r in readers.thresholds(spark, str(csv)).collect()] == [("s", 1.0, 0.25, 0.5, 0.01)]
     records = spark.createDataFrame([("k", '{"a": 1}'), ("k", "no"), ("k", None), (None, "x" * 50)], "key string, value string")
     assert [r.fault for r in readers.decode_records(records, "a int", 40).collect()] == [None, "Malformed", "Malformed", "TooLarge"]
+
+
+def test_schedules_are_whole(spark, tmp_path):
+    spark.createDataFrame([(59,), (7,)], "c_custkey long").write.parquet(str(tmp_path / "customer.parquet"))
+    got = {}
+    for r in catalogue.QUERIES["pacing_schedule"](spark, str(tmp_path)).collect():
+        got.setdefault((r.scenario_id, r.slice_index), []).append((r.k, r.at_s))
+    assert {s for s, _ in got} == {"a", "b", "c", "d", "e", "customer-59", "customer-7"}
+    assert got["a", 0] == [(0, 5.0)]  # 10 s at 0.1 a second
+    # 30 s at 15 a second and a burst of 3, in three slices
+    assert sorted(k for k in got if k[0] == "customer-59") == [("customer-59", i) for i in range(3)]
+    assert sorted(got["customer-59", 2]) == [(0, 0.0), *((k, pytest.approx(k / 5)) for k in range(1, 150))]
+
+
+def test_windows_reach_the_end(spark, tmp_path):
+    day = dt.date(1995, 1, 1)
+    spark.createDataFrame([(4, day), (5, day)], "o_orderkey long, o_orderdate date").write.parquet(str(tmp_path / "orders.parquet"))
+    rows = catalogue.QUERIES["dispatch_windows"](spark, str(tmp_path)).collect()
+    begin = 788918400000
+    for key, every in ((4, 300_000), (5, 60_000)):
+        assert sorted((r.scheduled_ms, r.next_ms) for r in rows if r.o_orderkey == key) == [(t, t + every) for t in range(begin, begin + 3_600_001, every)]
