@@ -16,11 +16,10 @@ from .common import by_size, shingle_hashes, table, utf8, word_hashes, words
 K1, B = 1.2, 0.75
 SHINGLE = 5
 SIMILARITY = 0.8
-#: A passage is retrieved for an item if it has this share of the score that the item's own text has.
+#: A document is retrieved for an item if it has this share of the score that the item's own text has.
 RETRIEVE = 0.5
 #: Items of one index block; a larger benchmark is scanned block by block.
 BLOCK_ITEMS = 20_000
-WINDOW = 128
 #: Text bytes that are looked up at a time: postings of their words take up to a hundred times as much.
 BATCH_BYTES = 1 << 20
 
@@ -41,7 +40,7 @@ def question_and_answer(text: str) -> tuple[str, str]:
 class ItemIndex:
     """Inverted index over test items with BM25 impacts, the largest of each term, and the items' shingles.
 
-    Impacts are those of a passage that has the term at most as often as the item itself; they bound what
+    Impacts are those of a text that has the term at most as often as the item itself; they bound what
     a term can add to an item's score, which is what block-max pruning needs.
     """
 
@@ -81,24 +80,24 @@ class ItemIndex:
         _, _, s, off = _hashed(texts, SHINGLE)
         return [np.unique(s[a:b]) for a, b in zip(off[:-1], off[1:], strict=True)]
 
-    def retrieve(self, term: np.ndarray, passage: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(passage, item, score) of all pairs that reach the item's threshold. Term numbers, -1 for none.
+    def retrieve(self, term: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(document, item, score) of all pairs that reach the item's threshold. Term numbers, -1 for none.
 
-        Pivoting by bounds: an item whose essential terms a passage lacks cannot reach its threshold with
+        Pivoting by bounds: an item whose essential terms a document lacks cannot reach its threshold with
         the rest, so only pairs that share an essential term are scored, over all terms.
         """
         known = np.flatnonzero(term >= 0)
-        passage, term = passage[known], term[known]
-        live = np.zeros(int(passage.max()) + 1 if len(passage) else 0, bool)
-        live[passage[self.hinge[term]]] = True
-        keep = live[passage]
-        pair = np.unique(passage[keep] * len(self.terms) + term[keep])
+        doc, term = doc[known], term[known]
+        live = np.zeros(int(doc.max()) + 1 if len(doc) else 0, bool)
+        live[doc[self.hinge[term]]] = True
+        keep = live[doc]
+        pair = np.unique(doc[keep] * len(self.terms) + term[keep])
         if not len(pair):
             return (np.zeros(0, np.int64),) * 2 + (np.zeros(0),)
-        passage, term = pair // len(self.terms), pair % len(self.terms)
+        doc, term = pair // len(self.terms), pair % len(self.terms)
         size = self.post_at[term + 1] - self.post_at[term]
         post = np.repeat(self.post_at[term] - (np.cumsum(size) - size), size) + np.arange(size.sum())
-        key = np.repeat(passage, size) * len(self.ids) + self.post_item[post]
+        key = np.repeat(doc, size) * len(self.ids) + self.post_item[post]
         hit = self.essential[post]
         wanted, code = np.unique(key[hit]), key
         inside = np.isin(code, wanted)
@@ -124,26 +123,15 @@ def _find(index: ItemIndex, similarity: float):
             at = np.minimum(np.searchsorted(index.terms, h), max(0, len(index.terms) - 1))
             term = np.where(index.terms[at] == h, at, -1) if len(index.terms) else np.full(len(h), -1)
             which = np.repeat(np.arange(len(off) - 1), np.diff(doc))
-            own = np.arange(len(h)) - doc[:-1][which]
-            # passages of WINDOW words that overlap by half: word i is in passages i // half and i // half - 1
-            half = WINDOW // 2
-            base = np.concatenate(([0], np.cumsum(np.diff(doc) // half + 2)))
-            one = base[which] + own // half + 1
-            passage, item, score = index.retrieve(np.concatenate((term, term)), np.concatenate((one, one - 1)))
-            d = np.searchsorted(base, passage, "right") - 1
-            order = np.lexsort((-score, item, d))
-            d, item, score = d[order], item[order], score[order]
-            first = np.append(True, (d[1:] != d[:-1]) | (item[1:] != item[:-1])) if len(d) else np.zeros(0, bool)
             rows = []
             last, s = -1, h[:0]
-            if first.any():
-                for x, i, v in zip(d[first], item[first], score[first], strict=True):
-                    if x != last:
-                        s, _ = shingle_hashes(h[doc[x] : doc[x + 1]], np.array([0, doc[x + 1] - doc[x]]), SHINGLE)
-                        last = x
-                    whole, question, answer = index.overlap(int(i), s)
-                    if whole >= similarity or (question >= similarity and answer >= similarity):
-                        rows.append((batch.column(0)[int(x)].as_py(), int(index.ids[i]), float(v), whole, question, answer))
+            for x, i, v in zip(*index.retrieve(term, which), strict=True):
+                if x != last:
+                    s, _ = shingle_hashes(h[doc[x] : doc[x + 1]], np.array([0, doc[x + 1] - doc[x]]), SHINGLE)
+                    last = x
+                whole, question, answer = index.overlap(int(i), s)
+                if whole >= similarity or (question >= similarity and answer >= similarity):
+                    rows.append((batch.column(0)[int(x)].as_py(), int(index.ids[i]), float(v), whole, question, answer))
             yield pa.RecordBatch.from_arrays([pa.array([r[j] for r in rows], k) for j, k in enumerate((pa.int64(), pa.int64(), *[pa.float64()] * 4))], names=["doc_id", "item_id", "bm25", "overlap", "question_overlap", "answer_overlap"])
 
     return run
@@ -152,10 +140,10 @@ def _find(index: ItemIndex, similarity: float):
 def leaks(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     """Documents that hold a test item: doc_id, item_id, bm25, overlap, question_overlap, answer_overlap.
 
-    Every passage of every document (128 words, every 64) is a query to the index of items; all items that
-    reach half of their own score are retrieved, and verified on five-word shingles of the document: at
-    least 80 % of the item's, or of its question's and of its answer's. The index goes to the executors in
-    blocks of 20,000 items, each with a scan of its own.
+    Every document is a query to the index of items, whole, so that no item is too long and its parts may be
+    apart; all items that reach half of their own score are retrieved, and verified on five-word shingles of
+    the document: at least 80 % of the item's, or of its question's and of its answer's. The index goes to
+    the executors in blocks of 20,000 items, each with a scan of its own.
 
     Words are compared in lower case. Null and empty text, and items without words or without an id, match nothing. Items equal in text are
     all reported. Rows with equal ids are each reported. A null doc_id is reported as null. Empty tables

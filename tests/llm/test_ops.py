@@ -216,6 +216,16 @@ def test_leaks(spark, odd, none):
     assert decontaminate.leaks(none, some).count() == 0 and decontaminate.leaks(odd, some.where("false")).count() == 0
 
 
+def test_leaks_long_and_apart(spark):
+    long = " ".join(f"item{i}" for i in range(400))
+    question, answer = " ".join(f"ask{i}" for i in range(20)) + "?", " ".join(f"say{i}" for i in range(20)) + "."
+    gap = " ".join(f"other{i}" for i in range(500))
+    docs = [(i, f"{' '.join(gap.split()[:i * 16])} {long} {gap}") for i in range(4)] + [(9, f"{gap} {answer} {gap} {question} {gap}"), (10, gap)]
+    bench = spark.createDataFrame([(1, long), (2, f"{question} {answer}")], "item_id long, text string")
+    got = {(r.doc_id, r.item_id) for r in decontaminate.leaks(spark.createDataFrame(docs, "doc_id long, text string"), bench).collect()}
+    assert got == {(0, 1), (1, 1), (2, 1), (3, 1), (9, 2)}
+
+
 def test_extract(spark):
     page = "<html><head><title>t</title><style>a{}</style></head><body><header>Site</header><nav><a>Home</a></nav><article><h1>Head {0}</h1><p>Body &amp;  text<b>bold</b> {0}</p><div class='comments'><p>bad</p></div></article><aside>ad</aside><script>x<y</script><footer>foot</footer></body></html>"
     pages = [(i, f"http://h.example/{i}", page.replace("{0}", str(i)), 0) for i in range(8)] + [(100, None, None, 0), (101, "odd", "", 0), (102, "http://z/", "plain &lt;text", 0), (None, "http://z/", "plain", 0)]
