@@ -76,9 +76,14 @@ class ItemIndex:
         self.whole = self._shingles(texts)
 
     @staticmethod
-    def _shingles(texts: list[str]) -> list[np.ndarray]:
-        _, _, s, off = _hashed(texts, SHINGLE)
-        return [np.unique(s[a:b]) for a, b in zip(off[:-1], off[1:], strict=True)]
+    def _shingles(texts: list[str]) -> list[tuple[int, np.ndarray]]:
+        """(words of a shingle, shingles) of each text: SHINGLE words, or all words of a shorter text."""
+        h, doc, s, off = _hashed(texts, SHINGLE)
+        out = [(SHINGLE, np.unique(s[a:b])) for a, b in zip(off[:-1], off[1:], strict=True)]
+        for i in np.flatnonzero((np.diff(doc) > 0) & (np.diff(doc) < SHINGLE)):
+            k = int(doc[i + 1] - doc[i])
+            out[i] = k, shingle_hashes(h[doc[i] : doc[i + 1]], np.array([0, k]), k)[0]
+        return out
 
     def retrieve(self, term: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(document, item, score) of all pairs that reach the item's threshold. Term numbers, -1 for none.
@@ -106,12 +111,21 @@ class ItemIndex:
         good = score >= self.need[wanted % len(self.ids)] - 1e-9
         return wanted[good] // len(self.ids), wanted[good] % len(self.ids), score[good]
 
-    def overlap(self, item: int, shingles: np.ndarray) -> tuple[float, float, float]:
-        """Shares of the item's, its question's and its answer's shingles among these; 1 for a part it lacks."""
-        def share(own: np.ndarray) -> float:
-            return float(np.isin(own, shingles).mean()) if len(own) else 1.0
+    def overlap(self, item: int, h: np.ndarray, shingles: dict[int, np.ndarray]) -> tuple[float, float, float]:
+        """Shares of the item's, its question's and its answer's shingles among those of a document of these words; 1 for a part it lacks.
 
-        return share(self.whole[item]), share(self.parts[0][item]), share(self.parts[1][item])
+        ``shingles`` keeps the document's shingles of each length that was asked for.
+        """
+        def share(k: int, own: np.ndarray) -> float:
+            if not len(own):
+                return 1.0
+            if len(h) < k:
+                return 0.0
+            if k not in shingles:
+                shingles[k] = shingle_hashes(h, np.array([0, len(h)]), k)[0]
+            return float(np.isin(own, shingles[k]).mean())
+
+        return share(*self.whole[item]), share(*self.parts[0][item]), share(*self.parts[1][item])
 
 
 def _find(index: ItemIndex, similarity: float):
@@ -124,12 +138,11 @@ def _find(index: ItemIndex, similarity: float):
             term = np.where(index.terms[at] == h, at, -1) if len(index.terms) else np.full(len(h), -1)
             which = np.repeat(np.arange(len(off) - 1), np.diff(doc))
             rows = []
-            last, s = -1, h[:0]
+            last, s = -1, {}
             for x, i, v in zip(*index.retrieve(term, which), strict=True):
                 if x != last:
-                    s, _ = shingle_hashes(h[doc[x] : doc[x + 1]], np.array([0, doc[x + 1] - doc[x]]), SHINGLE)
-                    last = x
-                whole, question, answer = index.overlap(int(i), s)
+                    last, s = x, {}
+                whole, question, answer = index.overlap(int(i), h[doc[x] : doc[x + 1]], s)
                 if whole >= similarity or (question >= similarity and answer >= similarity):
                     rows.append((batch.column(0)[int(x)].as_py(), int(index.ids[i]), float(v), whole, question, answer))
             yield pa.RecordBatch.from_arrays([pa.array([r[j] for r in rows], k) for j, k in enumerate((pa.int64(), pa.int64(), *[pa.float64()] * 4))], names=["doc_id", "item_id", "bm25", "overlap", "question_overlap", "answer_overlap"])
@@ -142,7 +155,8 @@ def leaks(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMILARITY)
 
     Every document is a query to the index of items, whole, so that no item is too long and its parts may be
     apart; all items that reach half of their own score are retrieved, and verified on five-word shingles of
-    the document: at least 80 % of the item's, or of its question's and of its answer's. The index goes to
+    the document: at least 80 % of the item's, or of its question's and of its answer's. An item or part of
+    fewer words is looked for as one sequence of its own length, anywhere in the document. The index goes to
     the executors in blocks of 20,000 items, each with a scan of its own.
 
     Words are compared in lower case. Null and empty text, and items without words or without an id, match nothing. Items equal in text are

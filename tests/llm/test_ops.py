@@ -226,6 +226,14 @@ def test_leaks_long_and_apart(spark):
     assert got == {(0, 1), (1, 1), (2, 1), (3, 1), (9, 2)}
 
 
+def test_leaks_short_parts(spark):
+    question = "Which of the many rivers of the old province is by far the longest?"
+    docs = [(1, f"{question} We asked, and it is the Blue Nile. they said"), (2, f"{question} it is said: nile. The Blue"), (3, "the Blue Nile. once more"), (4, "two words"), (5, "here are two words of many more in a longer text"), (6, "words two"), (7, "x")]
+    bench = spark.createDataFrame([(1, f"{question} The Blue Nile."), (2, "two words"), (3, "What is that then? No.")], "item_id long, text string")
+    got = {(r.doc_id, r.item_id): r for r in decontaminate.leaks(spark.createDataFrame(docs, "doc_id long, text string"), bench, 0.9).collect()}
+    assert set(got) == {(1, 1), (4, 2), (5, 2)} and got[1, 1].answer_overlap == 1 and got[1, 1].overlap < 0.9
+
+
 def test_extract(spark):
     page = "<html><head><title>t</title><style>a{}</style></head><body><header>Site</header><nav><a>Home</a></nav><article><h1>Head {0}</h1><p>Body &amp;  text<b>bold</b> {0}</p><div class='comments'><p>bad</p></div></article><aside>ad</aside><script>x<y</script><footer>foot</footer></body></html>"
     pages = [(i, f"http://h.example/{i}", page.replace("{0}", str(i)), 0) for i in range(8)] + [(100, None, None, 0), (101, "odd", "", 0), (102, "http://z/", "plain &lt;text", 0), (None, "http://z/", "plain", 0)]
