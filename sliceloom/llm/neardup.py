@@ -16,8 +16,6 @@ COORDINATES, ROWS = 96, 4
 BANDS = COORDINATES // ROWS
 #: Members of each bucket that all others are compared with first. A bucket of two has one pair, however many.
 HUBS = 4
-#: Bytes of a shingle's hash that verification compares: chance equals in a pair of 1,000-shingle sets, 1 in 10^8.
-WIDTH = 6
 #: Text bytes that are cut into shingles at a time.
 BATCH_BYTES = 2 << 20
 
@@ -66,13 +64,18 @@ def _sets(batch: pa.RecordBatch, k: int) -> tuple[np.ndarray, np.ndarray]:
     return h, np.searchsorted(which, np.arange(len(off)))
 
 
+def _sums(h: np.ndarray, off: np.ndarray) -> list[np.ndarray]:
+    """Two sums of each set's elements: equal sets, and (but for 1 in 2^128) only they, share size and both."""
+    return [np.add.reduceat(np.append(mix(h ^ _seed(900 + s)), np.uint64(0)), off[:-1]) if len(off) > 1 else h for s in (0, 1)]
+
+
 def _sketch_rows(k: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in by_size(batches, "text", BATCH_BYTES):
             h, off = _sets(batch, k)
             n = np.diff(off)
             some = n > 0
-            sums = [np.add.reduceat(np.append(mix(h ^ _seed(900 + s)), np.uint64(0)), off[:-1]) if len(n) else h for s in (0, 1)]
+            sums = _sums(h, off)
             sk = np.zeros((len(n), COORDINATES), np.uint64)
             if some.any():
                 sk[some] = sketches(h, np.append(off[:-1][some], off[-1]))
@@ -80,9 +83,9 @@ def _sketch_rows(k: int):
             for r in range(ROWS):
                 acc = mix(acc * np.uint64(31) + sk[:, r::ROWS] + np.uint64(r))
             acc = mix(acc ^ np.arange(BANDS, dtype=np.uint64)[None, :])
+            sums = [np.where(some, x, 0).view(np.int64) for x in sums]
             lists = pa.ListArray.from_arrays(np.arange(0, len(n) * BANDS + 1, BANDS, dtype=np.int32), acc.view(np.int64).reshape(-1))
-            # equal sets, and (but for 1 in 2^128) only they, share n and both sums
-            yield pa.RecordBatch.from_arrays([batch.column(0), n.astype(np.int64), np.where(some, sums[0], 0).view(np.int64), np.where(some, sums[1], 0).view(np.int64), lists], names=["doc_id", "n", "s1", "s2", "bands"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), n.astype(np.int64), *sums, lists], names=["doc_id", "n", "s1", "s2", "bands"])
 
     return run
 
@@ -91,74 +94,81 @@ def _set_rows(k: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in by_size(batches, "text", BATCH_BYTES):
             h, off = _sets(batch, k)
-            cut = np.ascontiguousarray(h.view(np.uint8).reshape(-1, 8)[:, 8 - WIDTH :]).reshape(-1).tobytes()
-            blobs = [cut[a * WIDTH : b * WIDTH] for a, b in zip(off[:-1], off[1:], strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(blobs, pa.binary())], names=["id", "blob"])
+            some = np.diff(off) > 0
+            sums = [np.where(some, x, 0).view(np.int64) for x in _sums(h, off)]
+            blobs = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(off) - 1, [None, pa.py_buffer(off.astype(np.int64) * 8), pa.py_buffer(np.ascontiguousarray(h))])
+            yield pa.RecordBatch.from_arrays([batch.column(0), *sums, blobs.cast(pa.binary())], names=["id", "s1", "s2", "blob"])
 
     return run
 
 
-def _unpack(blob: bytes) -> np.ndarray:
-    wide = np.zeros((len(blob) // WIDTH, 8), np.uint8)
-    wide[:, :WIDTH] = np.frombuffer(blob, np.uint8).reshape(-1, WIDTH)
-    return wide.reshape(-1).view(np.uint64)
+def _elements(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The hashes of all sets end to end, and n + 1 offsets."""
+    raw, off = utf8(column)
+    return np.frombuffer(raw.tobytes(), np.uint64), off // 8
 
 
 def _verify(percent: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ok, last, left = [], None, None
-            for a, b in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
-                if a != last:
-                    left, last = _unpack(a), a
-                right = _unpack(b)
-                merged = np.sort(np.concatenate((left, right)))
+            (left, a), (right, b) = _elements(batch.column(2)), _elements(batch.column(3))
+            ok = np.zeros(batch.num_rows, bool)
+            for i in range(batch.num_rows):
+                merged = np.sort(np.concatenate((left[a[i] : a[i + 1]], right[b[i] : b[i + 1]])))
                 same = int((merged[1:] == merged[:-1]).sum())
-                ok.append(100 * same >= percent * (len(left) + len(right) - same))
-            yield batch.select([0, 1]).filter(pa.array(ok, pa.bool_()))
+                ok[i] = 100 * same >= percent * (len(merged) - same)
+            yield batch.select([0, 1]).filter(pa.array(ok))
 
     return run
 
 
 def _linked(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Those of the (u, v) pairs whose full sets are as similar as ``percent``."""
-    right = sets.select(F.col("id").alias("v"), F.col("blob").alias("b"))
-    left = sets.select(F.col("id").alias("u"), F.col("blob").alias("a"))
+    right = sets.select(F.col("node").alias("v"), F.col("blob").alias("b"))
+    left = sets.select(F.col("node").alias("u"), F.col("blob").alias("a"))
     both = pairs.join(right, "v").join(left, "u").select("u", "v", "a", "b")
     return both.mapInArrow(_verify(percent), "u long, v long")
 
 
 def _tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in by_size(batches, "blob"):
-        h = [_unpack(b) for b in batch.column(2).to_pylist()]
-        n = np.array([len(x) for x in h], np.int64)
-        ids, c = (np.repeat(batch.column(i).to_numpy(), n) for i in (0, 1))
-        flat = np.concatenate(h).view(np.int64) if len(h) else np.zeros(0, np.int64)
+        flat, off = _elements(batch.column(2))
+        flat, n = flat.view(np.int64), np.diff(off)
+        ids, c, size = np.repeat(batch.column(0).to_numpy(), n), np.repeat(batch.column(1).to_numpy(), n), np.repeat(n, n)
         for a in range(0, len(flat), 1 << 17):
             b = a + (1 << 17)
-            yield pa.RecordBatch.from_arrays([ids[a:b], c[a:b], np.repeat(n, n)[a:b], flat[a:b]], names=["id", "c", "n", "s"])
+            yield pa.RecordBatch.from_arrays([ids[a:b], c[a:b], size[a:b], flat[a:b]], names=["node", "c", "n", "s"])
 
 
 def _prefix_pairs(sets: DataFrame, percent: int) -> DataFrame:
-    """Pairs of ``sets`` (id, c, blob) of different c that may be as similar as ``percent``: none is missed.
+    """Pairs of ``sets`` (node, c, blob) of different c that may be as similar as ``percent``: none is missed.
 
     If two sets are that similar, the rarest n - ceil(n * percent / 100) + 1 shingles of each meet. In a
     large group of texts with edits of their own these are the edits, which no other text has, so the
-    group makes few pairs although all its texts share most shingles.
+    group makes few pairs although all its texts share most shingles. What two sets can still share behind
+    a shingle follows from their sizes and its place in either; so sizes and places meet first, a few rows a
+    shingle however many sets have it, and only sets of sizes and places that suffice make pairs.
     """
-    tokens = sets.select("id", "c", "blob").mapInArrow(_tokens, "id long, c long, n long, s long")
+    tokens = sets.select("node", "c", "blob").mapInArrow(_tokens, "node long, c long, n long, s long")
     often = tokens.groupBy("s").agg(F.count(F.lit(1)).alias("f")).where("f > 1")
     common = tokens.join(often, "s")
-    by_id = Window.partitionBy("id")
-    own = F.col("n") - F.count(F.lit(1)).over(by_id)
-    place = own + F.row_number().over(by_id.orderBy("f", "s"))
-    prefix = common.withColumn("place", place).where(F.col("place") <= F.col("n") - F.ceil(F.col("n") * percent / 100) + 1).select("id", "c", "n", "s", "place")
+    by_node = Window.partitionBy("node")
+    own = F.col("n") - F.count(F.lit(1)).over(by_node)
+    place = own + F.row_number().over(by_node.orderBy("f", "s"))
+    prefix = common.withColumn("place", place).where(F.col("place") <= F.col("n") - F.ceil(F.col("n") * percent / 100) + 1).select("node", "c", "n", "s", "place")
     prefix = materialize(prefix, "prefixes")
-    other = prefix.select("s", F.col("id").alias("u"), F.col("n").alias("m"), F.col("c").alias("d"), F.col("place").alias("q"))
+    shapes = prefix.groupBy("s", "n", "place").agg(F.min("c").alias("lo"), F.max("c").alias("hi"))
+    other = shapes.select("s", F.col("n").alias("m"), F.col("place").alias("q"), F.col("lo").alias("lo2"), F.col("hi").alias("hi2"))
     # where s is the first shingle that the two share, they share at most it and what follows in either
     most = F.least(F.col("n") - F.col("place"), F.col("m") - F.col("q")) + 1
     alike = most * (100 + percent) >= (F.col("n") + F.col("m")) * percent
-    return prefix.join(other, "s").where((F.col("u") < F.col("id")) & (F.col("c") != F.col("d")) & alike).select("u", F.col("id").alias("v")).distinct()
+    once = (F.col("n") < F.col("m")) | ((F.col("n") == F.col("m")) & (F.col("place") <= F.col("q")))
+    apart = (F.col("lo") != F.col("hi2")) | (F.col("hi") != F.col("lo2"))
+    meet = shapes.join(other, "s").where(alike & once & apart).select("s", "n", "place", "m", "q")
+    left = prefix.select("s", "n", "place", F.col("node").alias("u"), F.col("c").alias("d")).join(meet, ["s", "n", "place"])
+    right = prefix.select("s", F.col("n").alias("m"), F.col("place").alias("q"), F.col("node").alias("v"), "c")
+    pairs = left.join(right, ["s", "m", "q"]).where((F.col("u") != F.col("v")) & (F.col("c") != F.col("d")))
+    return pairs.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
 
 
 def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
@@ -170,41 +180,55 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
     similarity 0.8 share none of 24 bands of 4 with probability 3e-6.
 
     Null and empty text, and text without words, have an empty set and link with nothing. Rows with a
-    null doc_id stand alone with component_id null and stay. Rows with equal doc_ids are one node. An
-    empty table gives an empty result. Other columns are ignored, whatever their names.
+    null doc_id stand alone with component_id null and stay. Rows with equal doc_ids are one document: it is
+    linked by any of their texts. An empty table gives an empty result. Texts may have any length. Other
+    columns are ignored, whatever their names.
 
-    Returns doc_id, n_shingles, component_id, kept.
+    Returns doc_id, n_shingles, component_id, kept, one row per input row.
     """
     text = docs.select(docs["doc_id"], docs["text"])
     rows = materialize(text.mapInArrow(_sketch_rows(k), "doc_id long, n long, s1 long, s2 long, bands array<long>"), "sketches")
     live = rows.where("doc_id IS NOT NULL AND n > 0")
     classes = live.groupBy("n", "s1", "s2").agg(F.min("doc_id").alias("id"), F.first("bands").alias("bands"))
-    classes = materialize(classes, "classes")
-    keys = classes.select("id", "n", F.explode("bands").alias("key"))
-    hubs = [F.min("id")] + [F.min(F.struct(F.xxhash64("id", F.lit(r)), "id"))["id"] for r in range(1, HUBS)]
+    classes = materialize(classes.withColumn("node", F.monotonically_increasing_id()), "classes")
+    keys = classes.select("node", F.explode("bands").alias("key"))
+    hubs = [F.min("node")] + [F.min(F.struct(F.xxhash64("node", F.lit(r)), "node"))["node"] for r in range(1, HUBS)]
     shared = keys.groupBy("key").agg(F.array_distinct(F.array(*hubs)).alias("hubs"), F.count(F.lit(1)).alias("c")).where("c > 1").select("key", "hubs")
     members = materialize(keys.join(shared, "key"), "buckets")
 
-    ids = members.select("id").distinct()
-    wanted = text.join(ids, text["doc_id"] == ids["id"], "left_semi")
-    sets = materialize(wanted.mapInArrow(_set_rows(k), "id long, blob binary").dropDuplicates(["id"]), "sets")
-    spokes = members.select("id", F.explode("hubs").alias("hub")).where("id != hub")
-    stars = spokes.select(F.least("hub", "id").alias("u"), F.greatest("hub", "id").alias("v")).distinct()
-    linked = materialize(_linked(stars, sets, percent), "links")
+    wanted = classes.join(members.select("node").distinct(), "node", "left_semi").select("node", "id", "s1", "s2")
+    texts = text.join(wanted.select("id").distinct(), text["doc_id"] == F.col("id"), "left_semi")
+    found = texts.mapInArrow(_set_rows(k), "id long, s1 long, s2 long, blob binary").dropDuplicates(["id", "s1", "s2"])
+    sets = materialize(found.join(wanted, ["id", "s1", "s2"]).select("node", "blob"), "sets")
+    spokes = members.select("node", F.explode("hubs").alias("hub")).where("node != hub")
+    stars = spokes.select(F.least("hub", "node").alias("u"), F.greatest("hub", "node").alias("v")).distinct()
+    linked = materialize(_linked(stars, sets, percent).union(_same_id(live, classes)), "links")
     part = components(linked)
 
-    named = members.join(part, "id", "left").select("key", "id", F.coalesce("component", "id").alias("c"))
+    named = members.join(part.withColumnRenamed("id", "node"), "node", "left").select("key", "node", F.coalesce("component", "node").alias("c"))
     split = named.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo != hi").select("key")
-    open_ = materialize(named.join(split, "key").select("id", "c").distinct(), "open")
-    cross = _prefix_pairs(sets.join(open_, "id"), percent)
+    open_ = materialize(named.join(split, "key").select("node", "c").distinct(), "open")
+    cross = _prefix_pairs(sets.join(open_, "node"), percent)
     more = _linked(cross, sets, percent)
     final = materialize(components(linked.union(more)), "components")
 
-    top = classes.join(final, "id", "left").select("n", "s1", "s2", F.coalesce("component", "id").alias("component"))
+    of = classes.select(F.col("node").alias("of"), F.col("id").alias("least"))
+    names = final.join(of, F.col("id") == F.col("of")).groupBy("component").agg(F.min("least").alias("component_id"))
+    named = final.join(names, "component").select(F.col("id").alias("node"), "component_id")
+    top = classes.join(named, "node", "left").select("n", "s1", "s2", F.coalesce("component_id", "id").alias("component"))
     out = rows.join(top, ["n", "s1", "s2"], "left")
     component = F.when(F.col("doc_id").isNull() | (F.col("n") == 0), F.col("doc_id")).otherwise(F.col("component"))
     return out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))
 
 
+def _same_id(live: DataFrame, classes: DataFrame) -> DataFrame:
+    """Links (u, v) between the classes of documents whose id has several texts."""
+    kind = F.struct("n", "s1", "s2")
+    several = live.groupBy("doc_id").agg(F.min(kind).alias("lo"), F.max(kind).alias("hi")).where("lo != hi").select("doc_id")
+    nodes = live.join(several, "doc_id", "left_semi").select("doc_id", "n", "s1", "s2").distinct().join(classes.select("n", "s1", "s2", "node"), ["n", "s1", "s2"])
+    first = nodes.groupBy("doc_id").agg(F.min("node").alias("u"))
+    return nodes.join(first, "doc_id").where("node != u").select("u", F.col("node").alias("v"))
+
+
 def op6_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"), k=4)
