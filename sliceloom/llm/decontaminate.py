@@ -20,7 +20,7 @@ SIMILARITY = 0.8
 RETRIEVE = 0.5
 #: Items of one index block; a larger benchmark is scanned block by block.
 BLOCK_ITEMS = 20_000
-#: Text bytes that are looked up at a time: postings of their words take up to a hundred times as much.
+#: Text bytes that are looked up at a time.
 BATCH_BYTES = 1 << 20
 
 
@@ -38,12 +38,17 @@ def question_and_answer(text: str) -> tuple[str, str]:
 
 
 class ItemIndex:
-    """Inverted index over test items with BM25 impacts, the largest of each term, and the items' shingles.
+    """Inverted index over test items in blocks with maxima, and the items' shingles.
 
-    Impacts are those of a text that has the term at most as often as the item itself; they bound what
-    a term can add to an item's score, which is what block-max pruning needs.
+    A term's weight in an item is its BM25 impact over the score that the item must reach, so that one
+    threshold, 1, holds for all items. Postings are kept in levels: those of a term in blocks of 512, 64, 8
+    and 1 items, each entry with the largest weight in its block and the place of its entries one level down.
     """
 
+    WIDTHS = (512, 64, 8, 1)
+    #: Entries that are looked at together.
+    MOST = 1 << 19
+
     def __init__(self, ids: list[int], texts: list[str]):
         h, doc, _, _ = _hashed(texts, SHINGLE)
         n = len(texts)
@@ -57,20 +62,18 @@ class ItemIndex:
         length = np.diff(doc)
         norm = K1 * (1 - B + B * length / max(1.0, length.mean() if n else 1.0))
         impact = idf[p_term] * tf * (K1 + 1) / (tf + norm[p_item])
-        order = np.lexsort((p_item, p_term))
-        self.post_item, self.post_impact = p_item[order], impact[order]
-        self.post_at = np.searchsorted(p_term[order], np.arange(len(self.terms) + 1))
         self.need = RETRIEVE * np.bincount(p_item, impact, minlength=n)
-        # essential postings: an item's terms of least document frequency that leave too little without them
-        by_bound = np.lexsort((-df[p_term], p_item))
-        left = np.cumsum(impact[by_bound])
-        first = np.searchsorted(p_item[by_bound], np.arange(n))
-        left -= np.repeat(np.append(0, left)[first], np.bincount(p_item, minlength=n))
-        essential = np.zeros(len(pair), bool)
-        essential[by_bound] = left >= self.need[p_item[by_bound]]
-        self.essential = essential[order]
-        self.hinge = np.zeros(len(self.terms), bool)
-        self.hinge[p_term[order][self.essential]] = True
+        order = np.lexsort((p_item, p_term))
+        of, block, weight = p_term[order], p_item[order], (impact / self.need[p_item])[order]
+        self.block, self.weight, self.below = [], [], []
+        for width in self.WIDTHS[::-1]:
+            key = of * (n // width + 1) + block // width if width > 1 else np.arange(len(of))
+            head = np.flatnonzero(np.append(True, key[1:] != key[:-1])[: len(key)])
+            self.block.insert(0, (block // width)[head])
+            self.weight.insert(0, np.maximum.reduceat(weight, head) if len(head) else weight)
+            self.below.insert(0, np.append(head, len(key)))
+            of, block, weight = of[head], block[head], self.weight[0]
+        self.first = np.searchsorted(of, np.arange(len(self.terms) + 1))
         qa = [question_and_answer(t) for t in texts]
         self.parts = [self._shingles([x[i] for x in qa]) for i in (0, 1)]
         self.whole = self._shingles(texts)
@@ -86,35 +89,54 @@ class ItemIndex:
         return out
 
     def retrieve(self, term: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(document, item, score) of all pairs that reach the item's threshold. Term numbers, -1 for none.
+        """(document, item, score) of all pairs that reach the item's threshold, in order. Term numbers, -1 for none.
 
-        Pivoting by bounds: an item whose essential terms a document lacks cannot reach its threshold with
-        the rest, so only pairs that share an essential term are scored, over all terms.
+        Block-max WAND, a level at a time in place of a cursor at a time, so that it is vectorised: the pivot
+        test, whether the maxima of the terms that a block and the passage share add up to the threshold,
+        is made for all blocks of a level and all passages together. Entries of blocks that fail are
+        skipped, with all postings under them; on the last level the sum is the score.
         """
         known = np.flatnonzero(term >= 0)
-        doc, term = doc[known], term[known]
-        live = np.zeros(int(doc.max()) + 1 if len(doc) else 0, bool)
-        live[doc[self.hinge[term]]] = True
-        keep = live[doc]
-        pair = np.unique(doc[keep] * len(self.terms) + term[keep])
-        if not len(pair):
-            return (np.zeros(0, np.int64),) * 2 + (np.zeros(0),)
-        doc, term = pair // len(self.terms), pair % len(self.terms)
-        size = self.post_at[term + 1] - self.post_at[term]
-        post = np.repeat(self.post_at[term] - (np.cumsum(size) - size), size) + np.arange(size.sum())
-        key = np.repeat(doc, size) * len(self.ids) + self.post_item[post]
-        hit = self.essential[post]
-        wanted, code = np.unique(key[hit]), key
-        inside = np.isin(code, wanted)
-        code, post = np.searchsorted(wanted, code[inside]), post[inside]
-        score = np.bincount(code, self.post_impact[post], minlength=len(wanted))
-        good = score >= self.need[wanted % len(self.ids)] - 1e-9
-        return wanted[good] // len(self.ids), wanted[good] % len(self.ids), score[good]
+        pair = np.unique(doc[known] * max(1, len(self.terms)) + term[known])
+        unit, term = pair // max(1, len(self.terms)), pair % max(1, len(self.terms))
+        work, found = [(0, unit, self.first[term], self.first[term + 1])], []
+        while work:
+            level, unit, first, last = work.pop()
+            ends = np.cumsum(last - first)
+            if not len(unit):
+                continue
+            if ends[-1] > self.MOST and unit[0] != unit[-1]:  # a unit, a passage or a block of it, stays whole
+                cut = np.searchsorted(unit, unit[min(np.searchsorted(ends, ends[-1] // 2), len(unit) - 1)])
+                cut = cut or np.searchsorted(unit, unit[0], "right")
+                work += [(level, unit[cut:], first[cut:], last[cut:]), (level, unit[:cut], first[:cut], last[:cut])]
+                continue
+            size = last - first
+            entry = np.repeat(first - (ends - size), size) + np.arange(ends[-1])
+            passage = unit // (self._blocks(level - 1) if level else 1)
+            key = np.repeat(passage, size) * self._blocks(level) + self.block[level][entry]
+            order = np.argsort(key, kind="stable")
+            key, entry = key[order], entry[order]
+            head = np.flatnonzero(np.append(True, key[1:] != key[:-1])[: len(key)])
+            total = np.add.reduceat(self.weight[level][entry], head) if len(head) else np.zeros(0)
+            good = total >= 1 - 1e-9
+            if level == len(self.WIDTHS) - 1:
+                found.append((key[head[good]], total[good]))
+                continue
+            keep = np.repeat(good, np.diff(np.append(head, len(key))))
+            below = self.below[level]
+            work.append((level + 1, key[keep], below[entry[keep]], below[entry[keep] + 1]))
+        key, total = (np.concatenate(x) for x in zip(*found, strict=True)) if found else (np.zeros(0, np.int64), np.zeros(0))
+        order = np.argsort(key, kind="stable")
+        item = key[order] % self._blocks(-1)
+        return key[order] // self._blocks(-1), item, total[order] * self.need[item]
+
+    def _blocks(self, level: int) -> int:
+        return len(self.ids) // self.WIDTHS[level] + 1
 
     def overlap(self, item: int, h: np.ndarray, shingles: dict[int, np.ndarray]) -> tuple[float, float, float]:
         """Shares of the item's, its question's and its answer's shingles among those of a document of these words; 1 for a part it lacks.
 
-        ``shingles`` keeps the document's shingles of each length that was asked for.
+        ``shingles`` keeps the document's shingles of each length that was asked for, in order.
         """
         def share(k: int, own: np.ndarray) -> float:
             if not len(own):
@@ -122,8 +144,9 @@ class ItemIndex:
             if len(h) < k:
                 return 0.0
             if k not in shingles:
-                shingles[k] = shingle_hashes(h, np.array([0, len(h)]), k)[0]
-            return float(np.isin(own, shingles[k]).mean())
+                shingles[k] = np.sort(shingle_hashes(h, np.array([0, len(h)]), k)[0])
+            at = np.minimum(np.searchsorted(shingles[k], own), len(shingles[k]) - 1)
+            return float((shingles[k][at] == own).mean())
 
         return share(*self.whole[item]), share(*self.parts[0][item]), share(*self.parts[1][item])
 
