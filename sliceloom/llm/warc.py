@@ -17,10 +17,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import materialize, shared_dir, table
+from .exact import with_groups
 from .files import read_range, write_file
 
 #: An archive is closed when its records have this many bytes; a reading task takes this many.
 FILE_BYTES, SPLIT_BYTES = 16 << 20, 4 << 20
+DATE = "2024-01-01T00:00:00Z"
 _PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 _GZIP, _PLAIN = b"\x1f\x8b\x08", b"WARC/1."
 _HEAD = re.compile(rb"WARC/1\.\d\r\n((?:[^\r\n]+\r\n)*)\r\n")
@@ -31,10 +33,13 @@ def sha1_base32(payload: bytes) -> str:
     return base64.b32encode(hashlib.sha1(payload).digest()).decode()
 
 
-def record(page_id: int | None, url: str | None, payload: bytes, refers_to: int | None) -> bytes:
-    """One record: the payload in an HTTP response, or a revisit that names the page that has it."""
-    name = lambda i: f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, f'page:{i}')}>"
-    head = [("WARC-Type", "response" if refers_to is None else "revisit"), ("WARC-Record-ID", name(page_id)), ("WARC-Date", "2024-01-01T00:00:00Z")]
+def record(page_id: int | None, url: str | None, payload: bytes, refers_to: int | None = None, refers_url: str | None = None, place: str = "") -> bytes:
+    """One record: the payload in an HTTP response, or a revisit that names the page that has it.
+
+    Its id comes from ``place``, where it stands, as page_ids may repeat or be null; a revisit names the
+    other page by id and url.
+    """
+    head = [("WARC-Type", "response" if refers_to is None else "revisit"), ("WARC-Record-ID", f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, place or f'page:{page_id}')}>"), ("WARC-Date", DATE)]
     if url is not None:
         head.append(("WARC-Target-URI", url.translate(_SAFE)))
     if page_id is not None:
@@ -44,7 +49,9 @@ def record(page_id: int | None, url: str | None, payload: bytes, refers_to: int
     if refers_to is None:
         block += payload
     else:
-        head += [("WARC-Profile", _PROFILE), ("WARC-Refers-To", name(refers_to)), ("X-Refers-To-Page", str(refers_to))]
+        head += [("WARC-Profile", _PROFILE), ("WARC-Refers-To-Date", DATE), ("X-Refers-To-Page", str(refers_to))]
+        if refers_url is not None:
+            head.append(("WARC-Refers-To-Target-URI", refers_url.translate(_SAFE)))
     head += [("Content-Type", "application/http; msgtype=response"), ("Content-Length", str(len(block)))]
     return "WARC/1.1\r\n".encode() + "".join(f"{k}: {v}\r\n" for k, v in head).encode() + b"\r\n" + block + b"\r\n\r\n"
 
@@ -67,8 +74,9 @@ def _write(folder: str, compressed: bool):
             return row
 
         for batch in batches:
-            for page, url, html, to in zip(*(batch.column(i) for i in range(4)), strict=True):
-                data = record(page.as_py(), url.as_py(), (html.as_py() or "").encode(), to.as_py())
+            for page, url, html, to, there in zip(*(batch.column(i) for i in range(5)), strict=True):
+                place = f"{folder}/{part}/{seq}/{len(held)}"
+                data = record(page.as_py(), url.as_py(), (html.as_py() or "").encode(), to.as_py(), there.as_py(), place)
                 held.append(gzipped(data) if compressed else data)
                 size += len(held[-1])
                 if size >= FILE_BYTES:
@@ -85,11 +93,12 @@ def write_archives(pages: DataFrame, compressed: bool = True) -> DataFrame:
     folder = shared_dir(pages.sparkSession, "warc")
     rows = pages.select(pages["page_id"], pages["url"], pages["html"])
     digest = F.unhex(F.sha2(F.coalesce("html", F.lit("")).cast("binary"), 256)).alias("digest")
-    keys = materialize(rows.select("page_id", digest), "page-digests")
-    most = keys.groupBy("digest").agg(F.max("page_id").alias("to"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
-    later = keys.join(most, "digest").where("page_id IS NULL OR page_id < to").select(F.col("page_id").alias("own"), F.col("digest").alias("key"), "to").distinct()
+    keys = materialize(rows.select("page_id", "url", digest), "page-digests")
+    groups = with_groups(keys, [F.max(F.struct("page_id", "url")).alias("most"), F.count(F.lit(1)).alias("n")]).where("n > 1")
+    later = groups.where("most.page_id IS NOT NULL AND (page_id IS NULL OR page_id < most.page_id)")
+    later = later.select(F.col("page_id").alias("own"), F.col("digest").alias("key"), F.col("most.page_id").alias("to"), F.col("most.url").alias("there")).distinct()
     dealt = rows.withColumn("digest", digest).join(later, F.col("page_id").eqNullSafe(F.col("own")) & (F.col("digest") == F.col("key")), "left")
-    return materialize(dealt.select("page_id", "url", "html", "to").mapInArrow(_write(folder, compressed), "file string, size long"), "archives")
+    return materialize(dealt.select("page_id", "url", "html", "to", "there").mapInArrow(_write(folder, compressed), "file string, size long"), "archives")
 
 
 def _parse(data: bytes) -> tuple[int, dict] | None:
