@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import WORD_SQL, table
+from .common import WORD_SQL, materialize, table
 
 WEIGHTS = (3, 1, 2)
 BUDGET = 1.5
@@ -59,9 +59,9 @@ def queued(sizes: DataFrame, weights=WEIGHTS, budget: float = BUDGET, repeats: i
     return rows.select(*sizes.columns, "source_size", "target", "start")
 
 
-def served(copy: int) -> Column:
+def served(copy: Column) -> Column:
     """Words of a document's copy number ``copy`` that are served before its source's target is reached."""
-    begin = F.col("start") + F.lit(copy) * F.col("source_size")
+    begin = F.col("start") + copy * F.col("source_size")
     return F.least(F.col("size"), F.greatest(F.floor(F.col("target") - begin), F.lit(0))).cast("long")
 
 
@@ -69,16 +69,17 @@ def fair_mix(queue: DataFrame, repeats: int = REPEATS) -> DataFrame:
     """The mix in its order: one row per copy that is taken, range-sorted by virtual finish time.
 
     A copy's virtual finish time is the words of its source up to its end over the source's target. At
-    time 1 every source has had its target and the total budget is spent, so the order is cut there;
-    the copy in service then has given ``served`` of its words. Partitions follow each other in order.
+    time 1 every source has had its target and the total budget is spent, so the order is cut there: a
+    copy that begins later is never reached, one in service has given ``served`` of its words. Partitions
+    follow each other in order.
     """
-    copies = queue.select("*", F.explode(F.array(*[F.struct(F.lit(i).alias("copy"), served(i).alias("served")) for i in range(repeats)])).alias("_c"))
-    copies = copies.select(*queue.columns, "_c.copy", "_c.served").where("served > 0")
-    end = F.col("start") + F.col("copy") * F.col("source_size") + F.col("size")
-    copies = copies.withColumn("finish", F.least(F.lit(1.0), end / F.col("target")))
+    copies = queue.withColumn("copy", F.explode(F.sequence(F.lit(0), F.lit(repeats - 1))))
+    finish = (F.col("start") + F.col("copy") * F.col("source_size") + F.col("size")) / F.col("target")
+    copies = copies.where("size > 0 AND start + copy * source_size < target").withColumn("finish", finish)
     n = int(queue.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     order = ["finish", "source", "doc_id", "copy"]
-    return copies.repartitionByRange(n, *order).sortWithinPartitions(*order)
+    line = copies.repartitionByRange(n, *order).sortWithinPartitions(*order)
+    return line.withColumn("served", served(F.col("copy"))).where("served > 0").withColumn("finish", F.least("finish", F.lit(1.0)))
 
 
 def sized(docs: DataFrame, *more: str) -> DataFrame:
@@ -88,13 +89,19 @@ def sized(docs: DataFrame, *more: str) -> DataFrame:
 def mixed(docs: DataFrame) -> DataFrame:
     """What the mix takes of each document: doc_id, source, size, source_size, target, taken.
 
+    ``taken`` adds up the document's copies in ``fair_mix``. The queue is written once, as both the mix and
+    the list of all documents read it; of rows with words, source and start name one.
+
     Null text and empty text have size 0 and take 0. A null source is a source of its own, the last.
     A null doc_id is shuffled as an empty id; rows with equal ids stand next to each other, smaller
     first. With no words at all every target is 0. An empty table gives an empty result. Other columns
     are ignored.
     """
-    taken = sum((served(i) for i in range(1, REPEATS)), served(0))
-    return queued(sized(docs)).select("doc_id", "source", "size", "source_size", "target", taken.alias("taken"))
+    queue = materialize(queued(sized(docs)), "queue")
+    took = fair_mix(queue).groupBy("source", "start", "size").agg(F.sum("served").alias("served"))
+    took = took.select(F.col("source").alias("of"), F.col("start").alias("begin"), F.col("size").alias("words"), "served")
+    mine = F.col("source").eqNullSafe(F.col("of")) & (F.col("start") == F.col("begin")) & (F.col("size") == F.col("words"))
+    return queue.join(took, mine, "left").select("doc_id", "source", "size", "source_size", "target", F.coalesce("served", F.lit(0)).cast("long").alias("taken"))
 
 
 def op1_weighted_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
