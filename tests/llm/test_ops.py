@@ -1,6 +1,7 @@
 """The ten operators and the pipeline against SQL, brute force, round trips and held-out labels, with odd rows."""
 
 import base64
+import gzip
 import hashlib
 import re
 import zlib
@@ -142,9 +143,10 @@ def test_near(spark, odd, none, k):
     names = ("doc_id", "n_shingles", "component_id", "kept")
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     assert rows(neardup.near_duplicates(docs, k), *names) == linked([(r.doc_id, r.text) for r in docs.collect()], k)
-    texts = [x for x in TEXTS if x != (6, "another text of the same id")]
-    frame = odd.where("text is null or text != 'another text of the same id'")
-    assert rows(neardup.near_duplicates(frame, k), *names) == linked(texts, k)
+    assert rows(neardup.near_duplicates(odd, k), *names) == linked(TEXTS, k)
+    # one document of two texts links what each of them is like
+    more = [(20, "a b c d e f g h"), (20, "q r s t u v w x"), (21, "A b c d e f g h"), (22, "q r s t u v w x"), (20, "a b c d e f g h")]
+    assert rows(neardup.near_duplicates(spark.createDataFrame(more, "doc_id long, text string"), k), *names) == linked(more, k)
     assert neardup.near_duplicates(none, k).count() == 0
 
 
@@ -234,6 +236,47 @@ def test_leaks_short_parts(spark):
     assert set(got) == {(1, 1), (4, 2), (5, 2)} and got[1, 1].answer_overlap == 1 and got[1, 1].overlap < 0.9
 
 
+def test_retrieval_equals_exhaustive_scoring():
+    """Block-max pruning finds all pairs that scoring every item finds, and no other."""
+    rng = np.random.default_rng(4)
+    words = np.array([f"w{i}" for i in range(3000)])
+    text = lambda n: " ".join(words[np.minimum(rng.zipf(1.3, n) - 1, 2999)])
+    items = [text(int(rng.integers(1, 60))) for _ in range(1300)]
+    index = decontaminate.ItemIndex(list(range(len(items))), items)
+    index.MOST = 5000  # work is split
+    docs = [text(40) for _ in range(40)] + [text(30) + " " + items[i] for i in range(0, 1300, 50)]
+    h, off, _, _ = decontaminate._hashed(docs, 5)
+    at = np.minimum(np.searchsorted(index.terms, h), len(index.terms) - 1)
+    term = np.where(index.terms[at] == h, at, -1)
+    got = set(zip(*(x.tolist() for x in index.retrieve(term, np.repeat(np.arange(len(docs)), np.diff(off)))[:2]), strict=True))
+    sets = [Counter(t.split()) for t in items]
+    df = Counter(w for s in sets for w in s)
+    mean = np.mean([sum(s.values()) for s in sets])
+
+    def impact(w, s):
+        return np.log(1 + (len(items) - df[w] + 0.5) / (df[w] + 0.5)) * s[w] * 2.2 / (s[w] + 1.2 * (0.25 + 0.75 * sum(s.values()) / mean))
+
+    want = {(d, i) for d, t in enumerate(docs) for own in [set(t.split())] for i, s in enumerate(sets) if sum(impact(w, s) for w in s.keys() & own) >= 0.5 * sum(impact(w, s) for w in s) - 1e-9}
+    assert got == want and len(want) > 20
+
+
+def test_template_classes():
+    """Classes of any occurrence vector that nest; pages of another layout do not void them."""
+    page = "<html><body><div>Site</div><ul>{}</ul><section><h2>Story {}</h2><p>text {}</p><small>All rights</small></section><div>Foot</div></body></html>"
+    pages = [page.format("".join(f"<li>{i * 7 + j}</li>" for j in range(i % 3 + 2)), i, i * i) for i in range(12)]
+    tokens = [extract._tokens(p) for p in [*pages, "", "<p>other</p>"]]
+    fixed, slots = extract.template(tokens)
+    assert {t for _, t in fixed} == {"Site", "All rights", "Foot"}
+    story = [s for t, s in zip(tokens[3], slots[3], strict=True) if t.text == "Story 3"]
+    assert story != [None] and {s for own, line in zip(tokens[:12], slots, strict=False) for t, s in zip(own, line, strict=True) if (t.text or "").startswith("Story")} == set(story)
+    assert extract.main_texts([*pages, "", "<p>other</p>"])[-2:] == ["", "other"]
+    # an order that differs from page to page is no class
+    odd = [f"<div>a</div><p>x{i}</p><div>b</div>" if i % 2 else f"<div>b</div><p>x{i}</p><div>a</div>" for i in range(8)]
+    assert not {"a", "b"} & {t for _, t in extract.template([extract._tokens(p) for p in odd])[0]}
+    kept = "<article><header><h1>Title {0}</h1></header><div class='related-work'><p>body {0}</p></div><p>x{0}</p><div class='related-posts'>no</div><div class='post-comments'>no</div></article>"
+    assert extract.main_texts([kept.format(i) for i in range(3)])[1] == "Title 1 body 1 x1"
+
+
 def test_extract(spark):
     page = "<html><head><title>t</title><style>a{}</style></head><body><header>Site</header><nav><a>Home</a></nav><article><h1>Head {0}</h1><p>Body &amp;  text<b>bold</b> {0}</p><div class='comments'><p>bad</p></div></article><aside>ad</aside><script>x<y</script><footer>foot</footer></body></html>"
     pages = [(i, f"http://h.example/{i}", page.replace("{0}", str(i)), 0) for i in range(8)] + [(100, None, None, 0), (101, "odd", "", 0), (102, "http://z/", "plain &lt;text", 0), (None, "http://z/", "plain", 0)]
@@ -252,6 +295,10 @@ def test_warc(spark, compressed):
     got = warc.read_archives(warc.write_archives(pages, compressed)).collect()
     by = {r.page_id: (r.payload_bytes, r.payload_digest, r.record_type, r.refers_to) for r in got}
     assert len(got) == len(html)
+    files = {r.file for r in got}
+    archives = [gzip.open(f.removeprefix("file://")).read() if compressed else open(f.removeprefix("file://"), "rb").read() for f in files]
+    names = re.findall(rb"WARC-Record-ID: <urn:uuid:([^>]*)>", b"".join(archives))
+    assert len(set(names) - {re.search(rb"uuid:([^>]*)>", inner)[1]}) == len(html)  # also where page_ids are null
     for i, h in enumerate(html):
         raw = (h or "").encode()
         to = {0: 1, 2: 3, 6: 1}.get(i)
