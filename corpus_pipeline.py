@@ -11,12 +11,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sliceloom.llm import decontaminate, mixing, neardup, quality, tokens
-from sliceloom.llm.common import table
+from sliceloom.llm.common import materialize, table
 
 
 def _rows_of(docs: DataFrame, ids: DataFrame, how: str) -> DataFrame:
-    chosen = ids.select(F.col("doc_id").alias("_chosen")).distinct()
-    return docs.join(chosen, docs["doc_id"].eqNullSafe(chosen["_chosen"]), how)
+    """Rows of ``docs``, packed meanwhile so that no column name of theirs can clash, whose doc_id is (or is not) in ``ids``."""
+    rows = docs.select(F.struct("*").alias("row"))
+    chosen = ids.select("doc_id").distinct()
+    return rows.join(chosen, F.col("row.doc_id").eqNullSafe(F.col("doc_id")), how).select("row.*")
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -40,11 +42,11 @@ def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
     Rows that share a doc_id are repeated alike. Documents without words give the mix nothing and go.
     """
-    queue = mixing.queued(mixing.sized(docs))
-    taken = sum((F.when((mixing.served(i) > 0) & (mixing.served(i) * 2 >= F.col("size")), 1).otherwise(0) for i in range(mixing.REPEATS)), F.lit(0))
-    times = queue.groupBy(F.col("doc_id").alias("_id")).agg(F.max(taken).alias("_times")).where("_times > 0")
-    held = docs.join(times, docs["doc_id"].eqNullSafe(times["_id"]))
-    return held.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_times")))).select(*(docs[c] for c in docs.columns))
+    queue = materialize(mixing.queued(mixing.sized(docs)), "queue")
+    copies = mixing.fair_mix(queue).where("served * 2 >= size").groupBy("doc_id", "source", "start").agg(F.count(F.lit(1)).alias("times"))
+    times = copies.groupBy("doc_id").agg(F.max("times").alias("times"))
+    held = docs.select(F.struct("*").alias("row")).join(times, F.col("row.doc_id").eqNullSafe(F.col("doc_id")))
+    return held.select("row", F.explode(F.sequence(F.lit(1).cast("long"), F.col("times")))).select("row.*")
 
 
 def token_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -63,7 +65,8 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over ``documents``. What a stage keeps is written to the shared folder, so no later one computes it again."""
     docs = table(spark, sf_dir, "documents")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
-    return docs
+    for name, stage in STAGES[:-1]:
+        docs = materialize(stage(spark, docs, sf_dir), name)
+    return STAGES[-1][1](spark, docs, sf_dir)
