@@ -1,12 +1,10 @@
-"""Every registered query and, where SQL can express it, its DuckDB twin."""
+"""Every registered query and, where SQL can express it, its DuckDB oracle."""
 
 from __future__ import annotations
 
+from . import oracles
 from .operators import custom
 from .plans import contracts, planning, reconcile, runs, samples
-from .plans.dialect import duck, spark_query
 
-_TEXTS = runs.QUERIES | planning.QUERIES | contracts.QUERIES | reconcile.QUERIES | samples.QUERIES | samples.SCALARS
-
-QUERIES = {name: spark_query(text) for name, text in _TEXTS.items()} | custom.QUERIES
-ORACLE_SQL = {name: duck(text) for name, text in _TEXTS.items()}
+QUERIES = {name: f for m in (runs, planning, contracts, reconcile, samples, custom) for name, f in m.QUERIES.items()}
+ORACLE_SQL = oracles.SQL

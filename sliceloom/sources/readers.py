@@ -2,12 +2,18 @@
 
 from __future__ import annotations
 
+import base64
+import json
 import re
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-PLAN = "scenario_id string, rate double, concurrency int, duration_ms long, burst int, every_ms long, endpoint string"
+STEP = "struct<protocol: string, name: string, endpoint: string, service: string, method: string, request: string, extract: map<string,string>, payload_key: string>"
+PLAN = f"scenario_id string, rate double, concurrency int, duration_ms long, burst int, every_ms long, endpoint string, strategy string, steps array<{STEP}>"
+#: Fixed bounds of a scenario file.
+SCENARIOS, NAME_BYTES, STEPS = 128, 256, 128
 _UNIT = {"s": 1000, "m": 60_000, "h": 3_600_000}
 
 
@@ -18,34 +24,107 @@ def duration_ms(text: str) -> int:
     return int(m[1]) * _UNIT[m[2]]
 
 
+def _empty(value) -> bool:
+    return value is not None and not str(value).strip()
+
+
+def _step(step: dict) -> tuple[tuple, list[str]]:
+    """A step as a row, and what is wrong with it."""
+    kind = step.get("protocol", "grpc")
+    allowed = {"grpc": {"protocol", "name", "endpoint", "service", "method", "request_base64", "request_fields", "extract", "response_payload_context_key"}, "http": {"protocol", "name", "method", "url"}}
+    if kind not in allowed:
+        return (), [f"unknown protocol {kind!r}"]
+    faults = [f"unknown field {k}" for k in sorted(set(step) - allowed[kind])]
+    if kind == "http":
+        faults += [f"{k} must not be empty" for k in ("method", "url") if not str(step.get(k) or "").strip()]
+        return (kind, step.get("name"), step.get("url"), None, step.get("method"), None, None, None), faults
+    faults += [f"{k} must not be empty" for k in ("service", "method") if not str(step.get(k) or "").strip()]
+    raw, fields, extract = step.get("request_base64"), step.get("request_fields"), step.get("extract") or {}
+    faults += [f"{k} must not be empty when provided" for k in ("endpoint", "request_base64", "response_payload_context_key") if _empty(step.get(k))]
+    if raw and "${" not in raw:
+        try:
+            base64.b64decode(raw, validate=True)
+        except ValueError:
+            faults.append("request_base64 must be base64")
+    if raw is not None and fields is not None:
+        faults.append("only one of request_base64 and request_fields")
+    if fields is not None and not isinstance(fields, dict):
+        faults.append("request_fields must be an object")
+    faults += [f"extract {k!r}: key and path must not be empty" for k, v in extract.items() if not str(k).strip() or not str(v).strip()]
+    request = f"base64:{raw}" if raw is not None else f"fields:{json.dumps(fields, separators=(',', ':'))}" if fields is not None else None
+    return (kind, step.get("name"), step.get("endpoint"), step.get("service"), step.get("method"), request, {str(k): str(v) for k, v in extract.items()}, step.get("response_payload_context_key")), faults
+
+
+def _scenario(s: dict, default_endpoint: str) -> tuple[tuple, list[str]]:
+    allowed = {"name", "endpoint", "load", "repeat", "partition", "steps"}
+    faults = [f"unknown field {k}" for k in sorted(set(s) - allowed)]
+    name, load, repeat = str(s.get("name") or ""), s.get("load") or {}, s.get("repeat") or {"type": "once"}
+    try:
+        rate = float(load.get("rate", "nan"))
+        concurrency, burst = int(load.get("concurrency") or 0), int(load.get("burst") or 0)
+    except (TypeError, ValueError):
+        return (name, None), [*faults, "load must be of numbers"]
+    checks = (
+        ("name is blank", not name.strip()), (f"name exceeds {NAME_BYTES} bytes", len(name.encode()) > NAME_BYTES), ("endpoint must not be empty when provided", _empty(s.get("endpoint"))),
+        ("rate must be positive", not 0 < rate < float("inf")), ("concurrency must be positive", concurrency < 1), ("burst exceeds concurrency", burst > concurrency),
+        ("repeat must be once or every", repeat.get("type") not in ("once", "every")), ("steps must not be empty", not s.get("steps")), (f"more than {STEPS} steps", len(s.get("steps") or []) > STEPS),
+    )
+    faults += [w for w, bad in checks if bad]
+    times = {}
+    for key, raw in (("duration", load.get("duration")), ("interval", repeat.get("every")) if repeat.get("type") == "every" else ("", None)):
+        if key:
+            try:
+                times[key] = duration_ms(raw)
+            except ValueError as e:
+                faults.append(f"{key}: {e}")
+    steps = []
+    for j, step in enumerate(s.get("steps") or []):
+        row, wrong = _step(step)
+        steps.append(row)
+        faults += [f"step {j}: {w}" for w in wrong]
+    return (name, rate, concurrency, times.get("duration"), burst, times.get("interval"), s.get("endpoint") or default_endpoint, s.get("partition", "ExecutionKey"), steps), faults
+
+
 def scenarios(spark: SparkSession, path: str, default_endpoint: str = "") -> DataFrame:
-    """A scenario file as rows. All faults are reported together."""
+    """A scenario file, which holds at most 128 scenarios, as rows with their steps. All faults are reported together."""
     import yaml
 
     text = "\n".join(r[0] for r in spark.read.text(path, wholetext=True).collect())
-    doc, faults, rows = yaml.safe_load(text) or {}, [], []
-    if doc.get("version") != 1:
-        faults.append("version must be 1")
-    if unknown := set(doc) - {"version", "scenarios"}:
-        faults.append(f"unknown fields {sorted(unknown)}")
-    for i, s in enumerate(doc.get("scenarios") or []):
-        try:
-            load, repeat = s.get("load", {}), s.get("repeat") or {"type": "once"}
-            row = (s["name"], float(load["rate"]), int(load["concurrency"]), duration_ms(load["duration"]), int(load.get("burst", 0)), duration_ms(repeat["every"]) if repeat["type"] == "every" else None, s.get("endpoint", default_endpoint))
-            faults += [f"scenario {i}: {w}" for w, bad in (("name is blank", not row[0].strip()), ("rate must be positive", not 0 < row[1] < float("inf")), ("concurrency must be positive", row[2] < 1), ("burst exceeds concurrency", row[4] > row[2])) if bad]
-            rows.append(row)
-        except (KeyError, ValueError, TypeError) as e:
-            faults.append(f"scenario {i}: {e}")
-    names = [r[0] for r in rows]
-    faults += [f"duplicate name {n}" for n in sorted({n for n in names if names.count(n) > 1})]
+    doc = yaml.safe_load(text) or {}
+    found = doc.get("scenarios") or []
+    faults = [w for w, bad in (("version must be 1", doc.get("version") != 1), ("there are no scenarios", not found), (f"more than {SCENARIOS} scenarios", len(found) > SCENARIOS)) if bad]
+    faults += [f"unknown field {k}" for k in sorted(set(doc) - {"version", "scenarios"})]
+    rows = []
+    for i, s in enumerate(found):
+        row, wrong = _scenario(s, default_endpoint)
+        rows.append(row)
+        faults += [f"scenario {i}: {w}" for w in wrong]
+    names = [r[0].strip() for r in rows]
+    faults += [f"duplicate name {n}" for n in sorted({n for n in names if n and names.count(n) > 1})]
     if faults:
         raise ValueError("; ".join(faults))
     return spark.createDataFrame(rows, PLAN)
 
 
 def json_lines(spark: SparkSession, path: str, schema: str, strict: bool = True) -> DataFrame:
-    """Strict: a bad line ends the query. Lenient: bad lines are left out."""
-    return spark.read.schema(schema).option("mode", "FAILFAST" if strict else "DROPMALFORMED").json(path)
+    """Strict: a bad line or a missing file ends the query. Lenient: bad lines are left out, a missing file is empty."""
+    try:
+        return spark.read.schema(schema).option("mode", "FAILFAST" if strict else "DROPMALFORMED").json(path)
+    except AnalysisException:
+        if strict:
+            raise
+        return spark.createDataFrame([], schema)
+
+
+def append_json_lines(rows: DataFrame, path: str) -> None:
+    """Compact records behind those that are there."""
+    rows.write.mode("append").json(path)
+
+
+def evidence_manifest(spark: SparkSession, path: str) -> DataFrame:
+    """path, bytes and SHA-256 of every file of a bundle."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
+    return files.select(F.col("path"), F.col("length").alias("bytes"), F.sha2("content", 256).alias("sha256"))
 
 
 def thresholds(spark: SparkSession, path: str) -> DataFrame:
@@ -77,15 +156,3 @@ def log_events(spark: SparkSession, path: str) -> DataFrame:
 def too_large(limit: int) -> Column:
     """Key and value together have more bytes than a record may have."""
     return F.coalesce(F.octet_length("key"), F.lit(0)) + F.coalesce(F.octet_length("value"), F.lit(0)) > limit
-
-
-def decode_records(df: DataFrame, schema: str, limit: int = 1 << 20) -> DataFrame:
-    """``record`` from JSON in ``value``, and ``fault`` where it is too large or does not parse."""
-    parsed = F.from_json(F.col("value").cast("string"), f"{schema}, _bad string", {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_bad"})
-    out = df.withColumn("record", parsed)
-    return out.withColumn("fault", F.when(too_large(limit), "TooLarge").when(F.col("record").isNull() | F.col("record._bad").isNotNull(), "Malformed"))
-
-
-def write_keyed(df: DataFrame, key: str, path: str) -> None:
-    """Records as JSON lines with their key, files dealt by key so that a key's records stay in order."""
-    df.select(F.col(key).cast("string").alias("key"), F.to_json(F.struct("*")).alias("value")).repartition("key").write.mode("append").json(path)

@@ -1,4 +1,9 @@
-"""Stateful run aggregation: duplicates, conflicts, late slices, deadlines and revisions, keyed by run."""
+"""Stateful run aggregation, keyed by run: histograms and error kinds added up, duplicates, conflicts, late slices, deadlines, revisions and their acknowledgement.
+
+A row has a kind. ``result`` carries a slice's counts, its histogram (bounds and counts) and error kinds;
+``register`` announces a run with its slices, scheduled time and load; ``cancel`` and ``partial`` end an open
+run; ``ack`` acknowledges a revision; ``tick`` lets time pass. Time is that of the rows.
+"""
 
 from __future__ import annotations
 
@@ -8,119 +13,254 @@ from collections.abc import Iterator
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-INPUT = "run_id string, kind string, slice_index int, slices int, execution_key string, total long, success long, failure long, at_ms long"
-OUTPUT = "run_id string, event_id string, revision int, status string, received int, expected int, missing string, total long, success long, failure long, outcome string"
+from ..functions.columns import EXACT, KINDS
+
+INPUT = (
+    "run_id string, kind string, scenario_id string, schema_version int, slice_index int, slices int, execution_key string, total long, success long, failure long, "
+    "bounds array<decimal(20,0)>, counts array<long>, errors map<string,long>, revision int, load_ms long, at_ms long"
+)
+OUTPUT = (
+    "run_id string, event_id string, scenario_id string, revision int, status string, received int, expected int, missing string, total long, success long, failure long, "
+    "p50_ms long, p95_ms long, p99_ms long, histogram string, errors string, first_ms long, last_ms long, finalized_ms long, outcome string"
+)
 STATE = "body string"
-LIMIT = (1 << 53) - 1
+NAMES = {"open": "Open", "complete": "Complete", "timed_out": "TimedOut", "cancelled": "Cancelled", "partial": "Partial"}
+#: What was wrong with a row: these go to the poison output, all others settle it.
+REFUSED = ("conflict", "rejected", "overflow", "error-kinds")
+
+
+def _quantile(bounds: list[int], counts: list[int], q: float) -> int:
+    """Nearest rank; a rank in the overflow bucket gives the bound before it, nothing counted gives 0."""
+    total = sum(counts)
+    if not total:
+        return 0
+    rank, upto, last = max(1, -int(-(total * q) // 1)), 0, 0
+    for bound, n in zip(bounds, counts, strict=True):
+        upto += n
+        last = bound if bound < (1 << 64) - 1 else last
+        if upto >= rank:
+            return last
+    return last
 
 
 class Run:
-    """What one run has received. Rows: ``result``, ``register``, ``cancel``, ``partial`` or ``tick`` (time passes)."""
+    """What one run has received."""
 
-    def __init__(self, body: str | None = None, partial_ms: int = 60_000):
-        self.s = json.loads(body) if body else {"status": "open", "slices": None, "seen": {}, "keys": {}, "sums": [0, 0, 0], "deadline": None, "revision": 0}
-        self.partial_ms = partial_ms
+    def __init__(self, body: str | None = None, partial_ms: int = 60_000, max_kinds: int = KINDS, retention_ms: int | None = None):
+        self.s = json.loads(body) if body else {"status": "open", "identity": None, "bounds": None, "seen": {}, "keys": {}, "sums": [0, 0, 0], "buckets": [], "errors": {}, "deadline": None, "first": None, "last": None, "final": None, "revision": 0, "acked": 0}
+        self.partial_ms, self.max_kinds, self.retention_ms = partial_ms, max_kinds, retention_ms
 
     def dump(self) -> str:
         return json.dumps(self.s)
 
+    @property
+    def slices(self) -> int:
+        return self.s["identity"][2] if self.s["identity"] else 0
+
+    @property
+    def pending(self) -> bool:
+        """Whether the last revision still waits for its acknowledgement."""
+        return self.s["revision"] > self.s["acked"]
+
+    def expired_at(self) -> int | None:
+        """When this run may be forgotten: never while a summary is pending, else some time after its last row."""
+        if self.retention_ms is None or self.pending or self.s["last"] is None or self.s["status"] == "open":
+            return None
+        return self.s["last"] + self.retention_ms
+
     def summary(self, run_id: str, outcome: str) -> dict:
         s = self.s
-        gone = [i for i in range(s["slices"] or 0) if str(i) not in s["seen"]]
-        status = {"open": "Open", "complete": "Complete", "timed-out": "TimedOut", "cancelled": "Cancelled", "partial": "Partial"}[s["status"]]
-        return {"run_id": run_id, "event_id": f"{run_id}:summary:r{s['revision']}:{s['status']}", "revision": s["revision"], "status": status, "received": len(s["seen"]), "expected": s["slices"] or 0, "missing": ",".join(map(str, gone)), "total": s["sums"][0], "success": s["sums"][1], "failure": s["sums"][2], "outcome": outcome}
+        gone = [i for i in range(self.slices) if str(i) not in s["seen"]]
+        status = NAMES[s["status"]]
+        tail = {"TimedOut": "timed-out"}.get(status, status.lower())
+        bounds = s["bounds"] or []
+        p50, p95, p99 = (_quantile(bounds, s["buckets"], q) for q in (0.5, 0.95, 0.99))
+        return {
+            "run_id": run_id, "event_id": f"{run_id}:summary:r{s['revision']}:{tail}", "scenario_id": s["identity"][0] if s["identity"] else None, "revision": s["revision"], "status": status,
+            "received": len(s["seen"]), "expected": self.slices, "missing": ",".join(map(str, gone)), "total": s["sums"][0], "success": s["sums"][1], "failure": s["sums"][2], "p50_ms": p50, "p95_ms": p95, "p99_ms": p99,
+            "histogram": ",".join(f"{b}={n}" for b, n in zip(bounds, s["buckets"], strict=True)), "errors": ",".join(f"{k}={n}" for k, n in sorted(s["errors"].items())),
+            "first_ms": s["first"], "last_ms": s["last"], "finalized_ms": s["final"], "outcome": outcome,
+        }
 
-    def _final(self, status: str) -> None:
-        self.s["status"] = status
+    def _final(self, status: str, at_ms: int) -> None:
+        self.s["status"], self.s["final"] = status, at_ms
         self.s["revision"] += 1
 
     def expire(self, now_ms: int) -> bool:
         if self.s["status"] == "open" and self.s["deadline"] is not None and now_ms >= self.s["deadline"]:
-            self._final("timed-out")
+            self._final("timed_out", now_ms)
             return True
         return False
 
+    def acknowledge(self, revision: int) -> str:
+        """One revision: the current one settles the run, an older one is stale, one that was never made is an error."""
+        if revision < 1 or revision > self.s["revision"]:
+            return "invalid"
+        if revision < self.s["revision"]:
+            self.s["acked"] = max(self.s["acked"], revision)
+            return "stale"
+        again = self.s["acked"] >= revision
+        self.s["acked"] = revision
+        return "acknowledged-again" if again else "acknowledged"
+
     def take(self, row: dict) -> tuple[str, bool]:
         """The outcome of a row, and whether it made a new revision."""
-        s = self.s
-        if row["kind"] == "tick":
+        s, kind = self.s, row["kind"]
+        if kind == "tick":
             return "expired" if (new := self.expire(row["at_ms"])) else "tick", new
-        if row["kind"] == "register":
-            if s["slices"] is None:
-                s["slices"], s["deadline"] = row["slices"], row["at_ms"] + self.partial_ms
-            return ("registered" if s["slices"] == row["slices"] else "conflict"), False
-        if row["kind"] in ("cancel", "partial"):
-            if s["status"] != "open":
+        if kind == "ack":
+            return self.acknowledge(row["revision"]), False
+        if kind in ("cancel", "partial"):
+            if s["status"] != "open" or s["identity"] is None:
                 return "closed", False
-            self._final("cancelled" if row["kind"] == "cancel" else "partial")
-            return row["kind"], True
+            self._final("cancelled" if kind == "cancel" else "partial", row["at_ms"])
+            return kind, True
+        identity = [row.get("scenario_id"), row.get("schema_version"), row["slices"]]
+        if kind == "register":
+            if s["identity"] is None:
+                s["identity"], s["deadline"] = identity, row["at_ms"] + (row.get("load_ms") or 0) + self.partial_ms
+            return ("registered" if s["identity"] == identity else "conflict"), False
+        return self._result(row, identity)
+
+    def _result(self, row: dict, identity: list) -> tuple[str, bool]:
+        s = self.s
         i, key = str(row["slice_index"]), row["execution_key"]
-        if s["slices"] is None:
-            s["slices"], s["deadline"] = row["slices"], row["at_ms"] + self.partial_ms
-        if s["slices"] != row["slices"] or s["seen"].get(i, key) != key or s["keys"].get(key, i) != i or not 0 <= int(i) < s["slices"]:
+        bounds, counts = ([int(x) for x in row.get(c) or []] for c in ("bounds", "counts"))
+        errors = dict(row.get("errors") or {})
+        if not 0 <= row["slice_index"] < (row["slices"] or 0) or s["identity"] not in (None, identity) or (s["bounds"] and bounds != s["bounds"]):
+            return "conflict", False
+        if s["seen"].get(i, key) != key or s["keys"].get(key, i) != i:
             return "conflict", False
         if i in s["seen"]:
             return "duplicate", False
         if s["status"] in ("complete", "cancelled"):
             return "rejected", False
+        if len(s["errors"].keys() | errors.keys()) > self.max_kinds:
+            return "error-kinds", False
         sums = [a + int(row[k]) for a, k in zip(s["sums"], ("total", "success", "failure"), strict=True)]
-        if max(sums) > LIMIT:
+        buckets = [a + b for a, b in zip(s["buckets"] or [0] * len(counts), counts, strict=True)] if counts else s["buckets"]
+        added = {k: s["errors"].get(k, 0) + int(n) for k, n in errors.items()}
+        if max([*sums, *buckets, *added.values()]) > EXACT:
             return "overflow", False
         late = s["status"] != "open"
-        s["seen"][i], s["keys"][key], s["sums"] = key, i, sums
-        if len(s["seen"]) == s["slices"]:
-            self._final("complete")
+        if s["identity"] is None:
+            s["identity"], s["deadline"] = identity, row["at_ms"] + self.partial_ms
+        s["bounds"], s["seen"][i], s["keys"][key], s["sums"], s["buckets"] = bounds or s["bounds"], key, i, sums, buckets
+        s["errors"].update(added)
+        s["first"] = row["at_ms"] if s["first"] is None else s["first"]
+        s["last"] = max(row["at_ms"], s["last"] or 0)
+        if len(s["seen"]) == self.slices:
+            self._final("complete", row["at_ms"])
             return ("late-completed" if late else "completed"), True
         return ("late-accepted" if late else "accepted"), False
 
 
-def _update(partial_ms: int):
+_COLUMNS = [f.split()[0] for f in OUTPUT.split(", ")]
+_KINDS = {"string": pa.string(), "int": pa.int32(), "long": pa.int64()}
+SCHEMA = pa.schema([(f.split()[0], _KINDS[f.split()[1]]) for f in OUTPUT.split(", ")])
+ORDER = ("at_ms", "slice_index", "execution_key", "total", "success")
+
+
+def _rows(frame: pd.DataFrame) -> list[dict]:
+    """Rows as dictionaries: arrays as lists, maps as dictionaries, nothing as None."""
+    out = frame.sort_values(list(ORDER), kind="stable").to_dict("records")
+    for row in out:
+        for k, v in row.items():
+            if k in ("bounds", "counts"):
+                row[k] = [] if v is None else [int(x) for x in v]
+            elif k == "errors":
+                row[k] = dict(v) if v is not None and not isinstance(v, float) else {}
+            elif v is None or v != v:
+                row[k] = None
+            elif k in ("slice_index", "slices", "schema_version", "total", "success", "failure", "revision", "load_ms", "at_ms"):
+                row[k] = int(v)
+    return out
+
+
+def _update(partial_ms: int, retention_ms: int | None):
     def run(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        run_, out = Run(state.get[0] if state.exists else None, partial_ms), []
+        run_, out = Run(state.get[0] if state.exists else None, partial_ms, retention_ms=retention_ms), []
+        now = state.getCurrentProcessingTimeMs()
         if state.hasTimedOut:
-            if run_.expire(state.getCurrentProcessingTimeMs()):
+            if run_.expire(now):
                 out.append(run_.summary(key[0], "expired"))
+            elif (end := run_.expired_at()) is not None and now >= end:
+                state.remove()
+                yield pd.DataFrame([], columns=_COLUMNS)
+                return
         else:
-            rows = pd.concat(list(batches)).sort_values(["at_ms", "slice_index", "execution_key"], kind="stable")
-            for row in rows.to_dict("records"):
+            for row in _rows(pd.concat(list(batches))):
+                if run_.expire(row["at_ms"]):
+                    out.append(run_.summary(key[0], "expired"))
                 outcome, new = run_.take(row)
-                if new or outcome in ("conflict", "rejected", "overflow"):
+                if new or outcome in REFUSED:
                     out.append(run_.summary(key[0], outcome))
         state.update((run_.dump(),))
-        deadline = run_.s["deadline"]
-        if run_.s["status"] == "open" and deadline is not None:
-            state.setTimeoutDuration(max(1000, deadline - state.getCurrentProcessingTimeMs()))
-        yield pd.DataFrame(out, columns=[f.split()[0] for f in OUTPUT.split(", ")])
+        due = run_.s["deadline"] if run_.s["status"] == "open" else run_.expired_at()
+        if due is not None:
+            state.setTimeoutDuration(max(1000, due - now))
+        yield pd.DataFrame(out, columns=_COLUMNS)
 
     return run
 
 
-def summaries(results: DataFrame, partial_ms: int = 60_000) -> DataFrame:
-    """An append-only log of summary revisions from a stream of rows (INPUT); bad rows come out with their outcome."""
-    return results.groupBy("run_id").applyInPandasWithState(_update(partial_ms), OUTPUT, STATE, "append", GroupStateTimeout.ProcessingTimeTimeout)
+def summaries(rows: DataFrame, partial_ms: int = 60_000, retention_ms: int | None = None) -> DataFrame:
+    """An append-only log of summary revisions from a stream of rows (INPUT); refused rows come out with their outcome.
+
+    With ``retention_ms`` a settled run's state is dropped that long after its last row, unless a summary of it is not acknowledged.
+    """
+    return rows.groupBy("run_id").applyInPandasWithState(_update(partial_ms, retention_ms), OUTPUT, STATE, "append", GroupStateTimeout.ProcessingTimeTimeout)
 
 
-def replayed(results: DataFrame, partial_ms: int = 60_000) -> DataFrame:
-    """The same log from a bounded table, in order of time: rows are dealt and sorted by run and folded as they pass."""
-    names = [f.split()[0] for f in OUTPUT.split(", ")]
+def replayed(rows: DataFrame, partial_ms: int = 60_000, end_ms: int | None = None) -> DataFrame:
+    """The same log from a bounded table, in order of time; at ``end_ms`` the deadlines of runs that are still open are looked at once more.
+
+    Rows are dealt and sorted by run and folded as they pass, so a task holds one run's state and no group is collected.
+    """
 
     def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, run_id, schema = Run(None, partial_ms), None, None
+        now, run_id = Run(None, partial_ms), None
+
+        def ended() -> list[dict]:
+            return [now.summary(run_id, "expired")] if run_id is not None and end_ms is not None and now.expire(end_ms) else []
+
         for batch in batches:
             out = []
             for row in batch.to_pylist():
                 if row["run_id"] != run_id:
+                    out += ended()
                     now, run_id = Run(None, partial_ms), row["run_id"]
+                row["errors"] = dict(row["errors"] or {})
                 if now.expire(row["at_ms"]):
                     out.append(now.summary(run_id, "expired"))
                 outcome, new = now.take(row)
-                if new or outcome in ("conflict", "rejected", "overflow"):
+                if new or outcome in REFUSED:
                     out.append(now.summary(run_id, outcome))
-            kinds = [{"string": pa.string(), "int": pa.int32(), "long": pa.int64()}[f.split()[1]] for f in OUTPUT.split(", ")]
-            schema = schema or pa.schema(list(zip(names, kinds, strict=True)))
-            yield pa.RecordBatch.from_pylist(out, schema=schema)
+            yield pa.RecordBatch.from_pylist(out, schema=SCHEMA)
+        yield pa.RecordBatch.from_pylist(ended(), schema=SCHEMA)
 
-    dealt = results.repartition("run_id").sortWithinPartitions("run_id", "at_ms", "slice_index", "execution_key")
+    dealt = rows.select([f.split()[0] for f in INPUT.split(", ")]).repartition("run_id").sortWithinPartitions("run_id", *ORDER)
     return dealt.mapInArrow(fold, OUTPUT)
+
+
+def poison(log: DataFrame) -> DataFrame:
+    """The rows that were refused: in a stream the second output, split off in foreachBatch."""
+    return log.where(F.col("outcome").isin(*REFUSED))
+
+
+def pending(log: DataFrame, acks: DataFrame, limit: int = 1024) -> DataFrame:
+    """Summaries to publish: each run's last revision that no acknowledgement (run_id, revision) has reached, the oldest first, as many as a cycle takes."""
+    last = log.where(~F.col("outcome").isin(*REFUSED)).groupBy("run_id").agg(F.max_by(F.struct("revision", "event_id", "status", "finalized_ms"), "revision").alias("r")).select("run_id", "r.*")
+    known = acks.groupBy("run_id").agg(F.max("revision").alias("acked"))
+    open_ = last.join(known, "run_id", "left").where("acked IS NULL OR acked < revision").drop("acked")
+    return open_.orderBy("finalized_ms", "run_id").limit(limit)
+
+
+def admitted(active: DataFrame, arrivals: DataFrame, most: int) -> DataFrame:
+    """Of runs that arrive (run_id, at_ms) those that find room beside the ``active`` ones, first come first served: a check before a micro-batch is taken."""
+    new = arrivals.groupBy("run_id").agg(F.min("at_ms").alias("at_ms")).join(active.select("run_id").distinct(), "run_id", "left_anti")
+    room = max(0, most - active.select("run_id").distinct().count())
+    return new.orderBy("at_ms", "run_id").limit(room)
