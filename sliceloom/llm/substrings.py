@@ -1,4 +1,4 @@
-"""Removal of long repeated byte strings with a logarithmic family of sorted suffix indexes."""
+"""Removal of long repeated byte strings with a logarithmic family of suffix arrays."""
 
 from __future__ import annotations
 
@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import _powers, by_size, materialize, mix, table, utf8
+from .exact import with_groups
 
 LENGTH = 50
 #: Anchors are strings of KGRAM bytes; every LENGTH-byte string holds SPAN of them and so one minimum.
@@ -124,7 +125,7 @@ def _rows(names: list[str], rows: list[tuple]) -> pa.RecordBatch:
 def _squeeze(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Texts as they are shuffled: compressed, with their size."""
     z = zstandard.ZstdCompressor(level=1)
-    for batch in by_size(batches, "text"):
+    for batch in by_size(batches, "text", 4 << 20):
         raw, off = utf8(batch.column(2))
         blobs = [z.compress(raw[a:b]) for a, b in zip(off[:-1], off[1:], strict=True)]
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), np.diff(off), pa.array(blobs, pa.binary())], names=["doc_id", "rid", "n", "body"])
@@ -147,7 +148,7 @@ def _offer(buckets: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         chunk = TaskContext.get().partitionId() << 24
-        for batch in by_size(batches, "text"):
+        for batch in by_size(batches, "text", 4 << 20):
             raw, off = utf8(batch.column(2))
             h, _, _, which = anchors(raw, off)
             both = np.lexsort((h, which))
@@ -299,57 +300,103 @@ def _extract(buckets: int):
     return run
 
 
-class LevelledIndex:
-    """Sorted arrays of suffixes (by a hash of their first LENGTH bytes) in levels of doubling size.
+#: Places of the eight-byte words by which suffixes are compared; the last ends with byte LENGTH.
+_WORDS = (*range(0, LENGTH - 7, 8), LENGTH - 8)
 
-    ``add`` takes the suffixes of a batch of documents that all come after the earlier batches: it
-    sorts them, merge-scans them against every level, and then merges levels of like size.
+
+class SuffixLevels:
+    """A logarithmic family of suffix arrays over one text: levels of doubling size, each its suffixes in order.
+
+    Suffixes are compared over their first LENGTH bytes, as longer matches need not be told apart. ``add``
+    takes the suffixes of a batch of documents that all come after the earlier batches: it builds their suffix
+    array, merge-scans it against every level, and then merges levels of like size.
     """
 
-    def __init__(self) -> None:
-        self.levels: list[tuple[np.ndarray, np.ndarray]] = []
-
-    def add(self, h: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """For each suffix a row of an earlier batch with equal hash, or -1; and the first place in this batch with its hash."""
-        order = np.argsort(h, kind="stable")
-        new = np.flatnonzero(np.append(True, h[order][1:] != h[order][:-1]))
-        keys, size = h[order[new]], np.diff(np.append(new, len(h)))
-        old = np.full(len(keys), -1, np.int64)
-        for level, at in self.levels:
-            i = np.minimum(np.searchsorted(level, keys), len(level) - 1)
-            old = np.where((old < 0) & (level[i] == keys), at[i], old)
-        found, head = np.empty(len(h), np.int64), np.empty(len(h), np.int64)
-        found[order], head[order] = np.repeat(old, size), np.repeat(order[new], size)
+    def __init__(self, raw: np.ndarray) -> None:
+        self.eight = np.ndarray((max(0, len(raw) - 7),), ">u8", np.ascontiguousarray(raw), strides=(1,))
+        #: Of each level: the first word of each suffix, where it starts, and its number.
+        self.levels: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+
+    def _word(self, at: np.ndarray, k: int) -> np.ndarray:
+        return self.eight[at + _WORDS[k]].astype(np.uint64)
+
+    def _sorted(self, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The suffix array of these starts, equal ones in their order, and where it has a new one.
+
+        By the first word; ties, and only they, by the words behind.
+        """
+        key = self._word(at, 0)
+        order = np.argsort(key, kind="stable")
+        key = key[order]
+        new = np.append(True, key[1:] != key[:-1])[: len(key)]
+        for k in range(1, len(_WORDS)):
+            tied = np.flatnonzero(~new | np.append(~new[1:], False))
+            if not len(tied):
+                break
+            group, word = np.cumsum(new)[tied], self._word(at[order[tied]], k)
+            inside = np.lexsort((word, group))
+            order[tied] = order[tied[inside]]
+            word, group = word[inside], group[inside]
+            new[tied[1:]] |= (word[1:] != word[:-1]) | (group[1:] != group[:-1])
+        return order, new
+
+    def _place(self, level: tuple[np.ndarray, np.ndarray, np.ndarray], first: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """For sorted suffixes (first words, starts) their places in a level, and whether it has them: one merge by first words, then by the words behind."""
+        heads, starts, _ = level
+        low, high = np.searchsorted(heads, first), np.searchsorted(heads, first, "right")
+        open_ = np.flatnonzero(low < high)
+        hit = np.zeros(len(at), bool)
+        while len(open_):
+            middle = (low[open_] + high[open_]) // 2
+            mine, theirs = at[open_], starts[middle]
+            sign = np.zeros(len(open_), np.int8)
+            even = np.arange(len(open_))
+            for k in range(1, len(_WORDS)):
+                a, b = self._word(mine[even], k), self._word(theirs[even], k)
+                sign[even] = (b > a).astype(np.int8) - (b < a)
+                even = even[a == b]
+                if not len(even):
+                    break
+            hit[open_[even]] = True
+            low[open_] = np.where(sign < 0, middle + 1, np.where(sign == 0, middle, low[open_]))
+            high[open_] = np.where(sign > 0, middle, np.where(sign == 0, middle, high[open_]))
+            open_ = open_[low[open_] < high[open_]]
+        return low, hit
+
+    def add(self, at: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """For each suffix (start and number) the number of an equal one of an earlier batch, or -1; and the first place in this batch with its bytes."""
+        order, new = self._sorted(at)
+        head = np.flatnonzero(new)
+        size = np.diff(np.append(head, len(at)))
+        starts, first = at[order[head]], self._word(at[order[head]], 0)
+        old = np.full(len(head), -1, np.int64)
+        for level in self.levels:
+            ask = np.flatnonzero(old < 0)
+            place, hit = self._place(level, first[ask], starts[ask])
+            old[ask[hit]] = level[2][place[hit]]
+        found, least = np.empty(len(at), np.int64), np.empty(len(at), np.int64)
+        found[order], least[order] = np.repeat(old, size), np.repeat(order[head], size)
         fresh = old < 0
-        keys, at = keys[fresh], rows[order[new[fresh]]]
-        while self.levels and len(self.levels[-1][0]) <= len(keys):
-            more = self.levels.pop()
-            keys, at = np.concatenate((more[0], keys)), np.concatenate((more[1], at))
-            order = np.argsort(keys, kind="stable")
-            keys, at = keys[order], at[order]
-        if len(keys):
-            self.levels.append((keys, at))
-        return found, head
+        made = (first[fresh], starts[fresh], rows[order[head[fresh]]])
+        while self.levels and len(self.levels[-1][0]) <= len(made[0]):
+            level = self.levels.pop()
+            place, _ = self._place(level, made[0], made[1])
+            made = tuple(np.insert(a, place, b) for a, b in zip(level, made, strict=True))
+        if len(made[0]):
+            self.levels.append(made)
+        return found, least
 
 
 def _earlier(raw: np.ndarray, at: np.ndarray, doc: np.ndarray, batch: int = 1 << 16) -> np.ndarray:
     """Whether raw[at : at + LENGTH] is also that of an entry with a smaller doc. ``doc`` is sorted."""
-    h = rolling(raw, LENGTH)[at] if len(at) else np.zeros(0, np.uint64)
-    found, index, a = np.full(len(at), -1, np.int64), LevelledIndex(), 0
+    found, index, a = np.zeros(len(at), bool), SuffixLevels(raw), 0
     while a < len(at):
         b = int(np.searchsorted(doc, doc[min(a + batch, len(at)) - 1], "right"))
-        own, head = index.add(h[a:b], np.arange(a, b))
-        inside = doc[a:b][head] < doc[a:b]  # the first of a hash is of the batch's smallest doc that has it
-        found[a:b] = np.where(own >= 0, own, np.where(inside, head + a, -1))
+        own, head = index.add(at[a:b], np.arange(a, b))
+        # the first of equal suffixes is of the batch's smallest doc that has it
+        found[a:b] = (own >= 0) | (doc[a:b][head] < doc[a:b])
         a = b
-    hit = np.flatnonzero(found >= 0)
-    for i in range(0, len(hit), 1 << 18):
-        part = hit[i : i + (1 << 18)]
-        if not _same(raw, at[part], at[found[part]]).all():  # two strings share a hash: settle by the bytes
-            text = np.ascontiguousarray(raw[at[:, None] + np.arange(LENGTH)]).view(f"V{LENGTH}").reshape(-1)
-            seen: dict[bytes, int] = {}
-            return np.array([seen.setdefault(t.tobytes(), d) < d for t, d in zip(text, doc, strict=True)], bool)
-    return found >= 0
+    return found
 
 
 def _runs(d: np.ndarray, r: np.ndarray, start: np.ndarray) -> list[np.ndarray]:
@@ -463,8 +510,9 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
     Suffixes are taken where they can matter. Each 50-byte string is filed under its least 24-byte
     anchor, so equal strings are filed alike wherever they stand. Pass 1 counts anchors over all
     documents; pass 2 sends the bytes around anchors that several documents share to tasks by anchor,
-    which index them, batch after batch in doc_id order, in a logarithmic family of sorted suffix
-    arrays. Hits are compared byte by byte. Documents equal to an earlier one are found by digest.
+    which index them, batch after batch in doc_id order, in a logarithmic family of suffix arrays: each
+    batch's is merge-scanned against those that are there. Documents equal to an earlier one are found by
+    digest, heavy digests apart.
 
     Null text is empty; texts under 50 bytes lose nothing. A null doc_id is neither smaller nor larger
     than another: such a row loses nothing and takes nothing away. Rows that share a doc_id take
@@ -479,8 +527,8 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
     tags = materialize(tags, "digests")
     total = tags.agg(F.sum("n")).first()[0] or 0
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), total // TASK_BYTES + 1)
-    firsts = tags.where(F.col("n") >= LENGTH).groupBy("sha").agg(F.min("doc_id").alias("first"), F.count(F.lit(1)).alias("c")).where("c > 1")
-    copies = tags.join(firsts, "sha").where("doc_id > first").select("doc_id", "rid", F.lit(True).alias("copy"))
+    firsts = with_groups(tags.where(F.col("n") >= LENGTH).withColumnRenamed("sha", "digest"), [F.min("doc_id").alias("first")])
+    copies = firsts.where("doc_id > first").select("doc_id", "rid", F.lit(True).alias("copy"))
     copies = materialize(copies.repartition(parts, "doc_id", "rid").distinct(), "copies")
     live = rows.where("doc_id IS NOT NULL")
     told = live.mapInArrow(_offer(4 * parts), "key long, chunk long, kind int, payload binary").repartition(parts, "key").mapInArrow(_answer, "chunk long, kind int, payload binary")
