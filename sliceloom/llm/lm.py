@@ -10,7 +10,6 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import functions as F
 
 from .common import by_size, lower_ascii, mix, table, utf8, word_hashes, words
 
@@ -74,7 +73,7 @@ def _counted(docs: DataFrame, count, cells: int) -> np.ndarray:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(cells, np.int64)
-        for batch in by_size(batches, "text"):
+        for batch in by_size(batches, "text", 4 << 20):
             count(total, *utf8(batch.column(0)))
         yield from _sent(total)
 
@@ -172,26 +171,38 @@ def _packed(batch: int, h: np.ndarray, context: np.ndarray, n: np.ndarray, part:
     order = np.argsort(part, kind="stable")
     h, context, n, part = h[order], context[order].astype(np.int16), n[order], part[order]
     at = np.append(np.flatnonzero(np.append(True, part[1:] != part[:-1])[: len(part)]), len(part))
-    return [(int(part[a]), batch, h[a:b].tobytes(), context[a:b].tobytes(), n[a:b].tobytes()) for a, b in zip(at[:-1], at[1:], strict=True)]
+    return [(int(part[a]), batch, h[a:b].tobytes(), context[a:b].tobytes(), _narrow(n[a:b])) for a, b in zip(at[:-1], at[1:], strict=True)]
 
 
 def _unpacked(blobs: pa.ChunkedArray, kind: type) -> np.ndarray:
     return np.frombuffer(b"".join(blobs.to_pylist()), kind)
 
 
+def _narrow(x: np.ndarray) -> bytes:
+    """Numbers from 0 on, in as few bytes each as the largest needs."""
+    return x.astype(np.min_scalar_type(int(x.max(initial=0)))).tobytes()
+
+
+def _widened(rows: pa.Table) -> np.ndarray:
+    """``numbers`` of the rows again: each has as many as it has contexts."""
+    size = [len(c) // 2 for c in rows["contexts"].to_pylist()]
+    wide = [np.frombuffer(b, f"u{len(b) // n}").astype(np.int64) for b, n in zip(rows["numbers"].to_pylist(), size, strict=True) if n]
+    return np.concatenate(wide) if wide else np.zeros(0, np.int64)
+
+
 def _context_counts(docs: DataFrame, kind: np.ndarray, parts: int) -> DataFrame:
     """How often each word of the corpus stands in each context (left, right class): one row of packed cells a bucket."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in by_size(batches, "text"):
+        for batch in by_size(batches, "text", 4 << 20):
             h, doc = _hashes(*utf8(batch.column(0)))
             left, right, _ = _context(_slot(h), doc, kind)
             h, context, n = _tallied(h, left * CLASSES + right, np.ones(len(h), np.int64))
             yield _cells(_packed(-1, h, context, n, _dealt(h, context, kind, parts)))
 
     def added(group: pa.Table) -> pa.Table:
-        h, context, n = _tallied(_unpacked(group["words"], np.uint64), _unpacked(group["contexts"], np.int16), _unpacked(group["numbers"], np.int64))
-        return pa.Table.from_batches([_cells([(group["part"][0].as_py(), -1, h.tobytes(), context.tobytes(), n.tobytes())])])
+        h, context, n = _tallied(_unpacked(group["words"], np.uint64), _unpacked(group["contexts"], np.int16), _widened(group))
+        return pa.Table.from_batches([_cells([(group["part"][0].as_py(), -1, h.tobytes(), context.tobytes(), _narrow(n))])])
 
     return docs.select(docs["text"]).mapInArrow(run, CELLS).groupBy("part").applyInArrow(added, CELLS)
 
@@ -200,7 +211,7 @@ def _spread_words(docs: DataFrame, kind: np.ndarray) -> tuple[np.ndarray, np.nda
     """Words in slots that have a class of their own (about one in 600 of the vocabulary), sorted by hash, and their counts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in by_size(batches, "text"):
+        for batch in by_size(batches, "text", 4 << 20):
             h, _ = _hashes(*utf8(batch.column(0)))
             word, n = np.unique(h[kind[_slot(h)] > REST], return_counts=True)
             yield pa.RecordBatch.from_arrays([pa.array(word.view(np.int64)), pa.array(n.astype(np.int64))], names=["word", "n"])
@@ -255,7 +266,7 @@ def scored(docs: DataFrame, model: tuple) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kind = held.value[0]
-        for k, batch in enumerate(by_size(batches, "text")):
+        for k, batch in enumerate(by_size(batches, "text", 4 << 20)):
             number = (TaskContext.get().partitionId() << 32) + k
             h, doc = _hashes(*utf8(batch.column(1)))
             left, right, _ = _context(_slot(h), doc, kind)
@@ -263,19 +274,22 @@ def scored(docs: DataFrame, model: tuple) -> DataFrame:
             ids = batch.column(0)
             # the rows themselves go along with the words, as batch -2 - number
             head = (number % parts, -2 - number, ids.fill_null(0).to_numpy().astype(np.int64).tobytes(), np.asarray(ids.is_null(), bool).tobytes(), np.diff(doc).astype(np.int64).tobytes())
+            # a word's cells stand together, so that they compress
+            order = np.lexsort((context, h))
+            h, context, row = h[order], context[order], row[order]
             yield _cells([head, *_packed(number, h, context, row, _dealt(h, context, kind, parts))])
 
     def valued(group: pa.Table) -> pa.Table:
         kind, logp, counts, (frequent, often) = held.value
         batch = group["batch"].to_numpy()
         at = group.filter(pa.array(batch == -1))
-        h, context, n = (_unpacked(at[c], k) for c, k in (("words", np.uint64), ("contexts", np.int16), ("numbers", np.int64)))
+        h, context, n = _unpacked(at["words"], np.uint64), _unpacked(at["contexts"], np.int16), _widened(at)
         words_, first = np.unique(h, return_index=True)
         number = np.repeat(np.arange(len(words_)), np.diff(np.append(first, len(h))))
         key, total = number * CLASSES**2 + context, np.add.reduceat(n, first) if len(h) else n
         out = group.filter(pa.array(batch < -1))
         asked = group.filter(pa.array(batch >= 0))
-        h, context, row = (_unpacked(asked[c], k) for c, k in (("words", np.uint64), ("contexts", np.int16), ("numbers", np.int32)))
+        h, context, row = _unpacked(asked["words"], np.uint64), _unpacked(asked["contexts"], np.int16), _widened(asked)
         if not len(h):
             return out
         own = kind[_slot(h)]
@@ -285,13 +299,15 @@ def scored(docs: DataFrame, model: tuple) -> DataFrame:
         of_class = counts.reshape(-1, CLASSES).sum(axis=0)
         prior = np.maximum(seen, 1) / (of_class[own] + 1)
         value = logp[cell] + np.log((_looked_up(key, n, word * CLASSES**2 + context) + PRIOR * prior) / (counts[cell] + PRIOR))
-        size = np.array([len(x) // 4 for x in asked["numbers"].to_pylist()])
+        size = np.array([len(x) // 2 for x in asked["contexts"].to_pylist()])
         which = np.repeat(asked["batch"].to_numpy(), size)
+        order = np.lexsort((row, which))
+        value, row, which = value[order], row[order], which[order]
         start = np.flatnonzero(np.append(True, (which[1:] != which[:-1]) | (row[1:] != row[:-1])))
         sums, row, which = np.add.reduceat(value, start), row[start], which[start]
         cut = np.append(np.flatnonzero(np.append(True, which[1:] != which[:-1])), len(which))
         part = group["part"][0].as_py()
-        rows = [(part, int(which[a]), b"", row[a:b].tobytes(), sums[a:b].tobytes()) for a, b in zip(cut[:-1], cut[1:], strict=True)]
+        rows = [(part, int(which[a]), b"", row[a:b].astype(np.int32).tobytes(), sums[a:b].tobytes()) for a, b in zip(cut[:-1], cut[1:], strict=True)]
         return pa.concat_tables([out, pa.Table.from_batches([_cells(rows)], out.schema)])
 
     def summed(group: pa.Table) -> pa.Table:
