@@ -13,15 +13,29 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
+#: Where intermediate tables go without a cluster.
 DEFAULT_SHARED = "/tmp/checkpoints"
 WORD_SQL = r"[^\x20\x09-\x0D]+"
 GAP_SQL = r"[\x20\x09-\x0D]+"
 
 
+def _shared(spark: SparkSession) -> str:
+    """The folder that the cluster names in ``spark.checkpoint.dir``; a local default only where driver and executors are one process."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir has to name a folder that all executors share")
+    return f"{(base or DEFAULT_SHARED).rstrip('/')}/sliceloom"
+
+
 def shared_dir(spark: SparkSession, name: str) -> str:
-    """A fresh folder under ``spark.checkpoint.dir``; a local default only where that is unset."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or DEFAULT_SHARED
-    return f"{base.rstrip('/')}/sliceloom/{name}-{uuid.uuid4().hex}"
+    """A fresh folder in the shared one."""
+    return f"{_shared(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def clear_scratch(spark: SparkSession) -> None:
+    """Remove all intermediate tables: once results that read them have been written."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(_shared(spark))
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 @contextmanager
@@ -59,8 +73,8 @@ def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return raw[off[0] : off[-1]], off - off[0]
 
 
-def by_size(batches: Iterator[pa.RecordBatch], column: str, most: int = 4 << 20) -> Iterator[pa.RecordBatch]:
-    """The same rows in batches of at most ``most`` text bytes, or of one longer row."""
+def by_size(batches: Iterator[pa.RecordBatch], column: str, most: int = 1 << 20) -> Iterator[pa.RecordBatch]:
+    """The same rows in batches of at most ``most`` text bytes, or of one longer row. At the end what Arrow keeps for later goes back, as the worker lives on."""
     for batch in batches:
         if not batch.num_rows:
             continue
@@ -70,6 +84,7 @@ def by_size(batches: Iterator[pa.RecordBatch], column: str, most: int = 4 << 20)
             end = max(at + 1, int(np.searchsorted(off, off[at] + most, "right")) - 1)
             yield batch.slice(at, end - at)
             at = end
+    pa.default_memory_pool().release_unused()
 
 
 def mix(x: np.ndarray) -> np.ndarray:

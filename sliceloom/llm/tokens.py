@@ -158,13 +158,13 @@ class WordEncoder:
         if not len(solid):
             return solid, np.zeros(1, np.int64), np.zeros(len(starts) + 1, np.int64)
         kind = _KINDS[solid]
-        odd = np.append(0, np.cumsum((solid == 39) | (solid == 60)))
+        odd = np.append(0, np.cumsum((solid == 39) | (solid == 60), dtype=np.int32))
         plain = np.repeat(odd[at[1:]] == odd[at[:-1]], size)
         cut = np.zeros(len(solid) + 1, bool)
         cut[1:-1] = plain[1:] & (kind[1:] > 0) & (kind[:-1] > 0) & ((kind[1:] != kind[:-1]) | (kind[1:] == 2))
         cut[at] = True
         off = np.flatnonzero(cut)
-        wide = np.append(0, np.cumsum(kind == 0))
+        wide = np.append(0, np.cumsum(kind == 0, dtype=np.int32))
         ascii_ = np.repeat(wide[off[1:]] == wide[off[:-1]], np.diff(off))
         return np.where(plain & ascii_, lower_ascii(solid), solid), off, np.searchsorted(off, at)
 
