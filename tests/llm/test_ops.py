@@ -103,16 +103,26 @@ def test_substrings_hot(spark):
     assert rows(substrings.repeated_spans(spark.createDataFrame(texts, "doc_id long, text string").repartition(5)), *COLUMNS) == covered(texts)
 
 
-def test_levelled_index():
-    index, seen, rng = substrings.LevelledIndex(), {}, np.random.default_rng(1)
-    for k in range(40):
-        h = rng.integers(0, 3000, 50).astype(np.uint64)
-        found, _ = index.add(h, np.arange(k * 50, k * 50 + 50))
-        assert [(f >= 0) for f in found] == [x in seen for x in h.tolist()] and all(seen[x] == f for x, f in zip(h.tolist(), found, strict=True) if f >= 0)
-        for i, x in enumerate(h.tolist()):
-            seen.setdefault(x, k * 50 + i)
-    sizes_ = [len(level) for level, _ in index.levels]
-    assert sizes_ == sorted(sizes_, reverse=True) and len(sizes_) < 10
+def test_suffix_levels():
+    """Numbers of earlier equal suffixes, order within levels and doubling sizes, on texts that repeat each other."""
+    rng = np.random.default_rng(1)
+    pool = [bytes(rng.integers(97, 99, 8, np.uint8)) * int(rng.integers(5, 12)) + bytes(rng.integers(97, 123, int(rng.integers(0, 40)), np.uint8)) for _ in range(60)]
+    raw = np.frombuffer(b"".join(pool[i] for i in rng.integers(0, 60, 900)), np.uint8)
+    index, seen = substrings.SuffixLevels(raw), {}
+    starts = np.arange(len(raw) - 49)
+    key = lambda at: raw[at : at + 50].tobytes()
+    for part in np.array_split(starts, 37):
+        found, head = index.add(part, part + 7)
+        before = dict(seen)
+        for i, at in enumerate(part.tolist()):
+            k = key(at)
+            assert (found[i] >= 0) == (k in before) and (found[i] < 0 or before[k] == found[i]) and key(part[head[i]]) == k and head[i] <= i
+            seen.setdefault(k, at + 7)
+    for heads, at, rows_ in index.levels:
+        keys = [key(x) for x in at.tolist()]
+        assert keys == sorted(set(keys)) and (np.diff(heads.astype(object)) >= 0).all() and (rows_ == at + 7).all()
+    sizes_ = [len(level[0]) for level in index.levels]
+    assert sizes_ == sorted(sizes_, reverse=True) and len(sizes_) < 10 and sum(sizes_) == len(seen)
 
 
 def shingles(text, k):
@@ -226,6 +236,12 @@ def test_leaks_long_and_apart(spark):
     bench = spark.createDataFrame([(1, long), (2, f"{question} {answer}")], "item_id long, text string")
     got = {(r.doc_id, r.item_id) for r in decontaminate.leaks(spark.createDataFrame(docs, "doc_id long, text string"), bench).collect()}
     assert got == {(0, 1), (1, 1), (2, 1), (3, 1), (9, 2)}
+    # items of 300, 600 and 1,000 words; equal items are both reported, so are equal rows
+    items = [(n, " ".join(f"p{n}q{i}" for i in range(n))) for n in (300, 600, 1000)]
+    docs = [(n, f"{gap} {t} {gap}", "x") for n, t in items] + [(600, f"{gap} {items[1][1]} {gap}", "x")]
+    bench = spark.createDataFrame([*items, (7, items[0][1])], "item_id long, text string")
+    got = Counter((r.doc_id, r.item_id) for r in decontaminate.leaks(spark.createDataFrame(docs, "doc_id long, text string, item_id string"), bench).collect())
+    assert got == {(300, 300): 1, (300, 7): 1, (600, 600): 2, (1000, 1000): 1}
 
 
 def test_leaks_short_parts(spark):
@@ -285,6 +301,13 @@ def test_extract(spark):
     assert all(got[i].text == f"Head {i} Body & textbold {i}" and got[i].n_chars == len(got[i].text) for i in range(8))
     assert got[100].text == got[101].text == "" and got[102].text == "plain <text" and got[None].text == "plain"
     assert extract.extracted(frame.where("false")).count() == 0
+    # four distinct pages of a host are too few for a template, five are enough; repeated rows stay, pages may be long
+    plain = "<body><p>Common line</p><p>own {0}</p></body>"
+    for n, want in ((4, "Common line own 0"), (5, "own 0")):
+        rows_ = [(i, "http://few.example/", plain.replace("{0}", str(i))) for i in range(n)] * 2
+        assert [r.text for r in extract.extracted(spark.createDataFrame(rows_, "page_id long, url string, html string")).where("page_id = 0").collect()] == [want] * 2
+    long = extract.extracted(spark.createDataFrame([(1, "http://l/", "<p>" + "word " * 300_000 + "</p>")], "page_id long, url string, html string")).first()
+    assert long.n_chars == 5 * 300_000 - 1
 
 
 @pytest.mark.parametrize("compressed", [True, False])
@@ -306,6 +329,13 @@ def test_warc(spark, compressed):
     assert warc.archived(pages.where("false")).count() == 0
 
 
+def test_warc_ties(spark):
+    """Rows that tie for the largest page_id are all responses, also where rows repeat."""
+    rows_ = [(1, "u", "a"), (2, "u", "a"), (2, "v", "a"), (2, "v", "a"), (3, "w", "b"), (3, "w", "c"), (None, "n", "d"), (None, "n", "d")]
+    got = Counter((r.page_id, r.record_type, r.refers_to) for r in warc.archived(spark.createDataFrame(rows_, "page_id long, url string, html string")).collect())
+    assert got == {(1, "revisit", 2): 1, (2, "response", None): 3, (3, "response", None): 2, (None, "response", None): 2}
+
+
 def test_reachable():
     at, to = np.array([0, 5, 10, 12, 20, 30]), np.array([10, 12, 20, 30, 40, 41])
     assert warc.reachable(at, to).tolist() == [True, False, True, False, True, False]
@@ -361,7 +391,7 @@ def test_lm_predicts_words(spark):
     got = {r.doc_id: r.logprob for r in lm.scored(docs, model).collect()}
     assert len(got) == 42 and abs(got[3] - want) < 1e-6 and got[0] == pytest.approx(got[40], abs=1e-9)
     # what is gathered is every (word, left, right) of the corpus
-    assert sum(len(r.numbers) // 8 for r in known.collect()) == len(cells)
+    assert sum(len(r.contexts) // 2 for r in known.collect()) == len(cells)
 
 
 def test_pipeline(spark):
@@ -378,3 +408,19 @@ def test_pipeline(spark):
         if name != "tokens":
             assert kept.columns == docs.columns and kept.count()
     assert rows(corpus_pipeline.run(spark, SF), *kept.columns) == rows(kept, *kept.columns)
+
+
+def test_pipeline_odd_rows(spark, odd, none):
+    """Nulls, empty and very long texts, repeated ids and columns of clashing names pass every stage; so does nothing."""
+    wide = odd.withColumns({c: F.lit(1) for c in ("row", "times", "copy", "start", "served", "_chosen", "_copy", "item_id")})
+    for name, stage in corpus_pipeline.STAGES:
+        out = stage(spark, wide, SF)
+        if name == "tokens":
+            assert out.count() == len(TEXTS)
+        else:
+            assert out.columns == wide.columns
+            kept = {(r.doc_id, r.text) for r in out.collect()}
+            assert kept <= set(TEXTS) and (name in ("quality", "mixing") or {(None, COPY), (11, "two words")} <= kept)
+            assert name != "mixing" or all((t or "").split() for _, t in kept)
+    for _, stage in corpus_pipeline.STAGES:
+        assert stage(spark, wide.where("false"), SF).count() == 0
