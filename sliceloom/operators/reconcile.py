@@ -34,10 +34,16 @@ def deliveries(rows: DataFrame, by: tuple[str, ...], order: tuple[str, ...]) ->
 
 
 def zipped(left: DataFrame, right: DataFrame, by: str, order: tuple[str, ...]) -> DataFrame:
-    """The i-th row of a key on the left with the i-th on the right; the right's columns get ``_right``."""
-    a = numbered(left, (by,), order, "rn")
-    b = numbered(right, (by,), order, "rn")
-    return a.join(b.select(by, "rn", *(F.col(c).alias(f"{c}_right") for c in right.columns if c != by)), [by, "rn"])
+    """The i-th row of a key on the left with the i-th on the right, which has the same columns; the right's get ``_right``.
+
+    Both sides are dealt by the key once, numbered and paired where they are.
+    """
+    sides = [df.select(F.col(by).alias("_by"), F.lit(i).alias("_side"), F.struct(*left.columns).alias("_row")) for i, df in enumerate((left, right))]
+    rows = sides[0].unionByName(sides[1]).repartition("_by")
+    place = F.row_number().over(Window.partitionBy("_by", "_side").orderBy(*(F.col(f"_row.{c}") for c in order))).cast("long")
+    pairs = rows.withColumn("rn", place).groupBy("_by", "rn").agg(*(F.max(F.when(F.col("_side") == i, F.col("_row"))).alias(f"_{i}") for i in (0, 1)))
+    both = pairs.where("_0 IS NOT NULL AND _1 IS NOT NULL")
+    return both.select("_0.*", "rn", *(F.col(f"_1.{c}").alias(f"{c}_right") for c in left.columns if c != by))
 
 
 def coverage(events: DataFrame, *by: str) -> DataFrame:
