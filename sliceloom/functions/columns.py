@@ -205,6 +205,8 @@ def host_allowed(endpoint: Column, hosts: Sequence[str], any_host: bool = False)
     return F.lit(True) if any_host else F.coalesce(F.lower(F.try_parse_url(endpoint, F.lit("HOST"))).isin([h.lower() for h in hosts]), F.lit(False))
 
 
+#: Label of the runtime's own faults; a runtime that puts its name before it passes its own to the functions below.
+INFRASTRUCTURE = "infrastructure"
 #: Fixed table: an error's variant, its label (a status adds its code), whether it measures the target.
 ERROR_LABELS = {
     "MissingContextVar": ("missing_context_var", False),
@@ -214,15 +216,15 @@ ERROR_LABELS = {
     "TargetTransport": ("target_transport", True),
     "TargetStatus": ("target_status", True),
     "RequestTimeout": ("target_timeout", True),
-    "TransientInfrastructure": ("pulse_infrastructure", False),
+    "TransientInfrastructure": (INFRASTRUCTURE, False),
     "PermanentProcessing": ("permanent_processing", False),
     "Cancelled": ("cancelled", False),
     "InvariantViolation": ("invariant_violation", False),
 }
 
 
-def error_label(variant: Column, code: Column) -> Column:
-    labels = F.create_map(*(F.lit(x) for k, (label, _) in ERROR_LABELS.items() for x in (k, label)))
+def error_label(variant: Column, code: Column, infrastructure: str = INFRASTRUCTURE) -> Column:
+    labels = F.create_map(*(F.lit(x) for k, (label, _) in ERROR_LABELS.items() for x in (k, infrastructure if label == INFRASTRUCTURE else label)))
     label = F.try_element_at(labels, variant)
     return F.when(label == "target_status", joined(label, ":", code)).otherwise(label)
 
@@ -231,15 +233,15 @@ def measures_target(variant: Column) -> Column:
     return variant.isin([k for k, (_, target) in ERROR_LABELS.items() if target])
 
 
-def disposition(kinds: Column, attempt: Column, retries: Column) -> Column:
+def disposition(kinds: Column, attempt: Column, retries: Column, infrastructure: str = INFRASTRUCTURE) -> Column:
     """What becomes of a job whose measured errors are ``kinds`` (map of label to count), the first that applies."""
 
     def n(*labels: str) -> Column:
         return reduce(lambda a, b: a + b, (F.coalesce(F.try_element_at(kinds, F.lit(k)), F.lit(0)) for k in labels))
 
-    infrastructure = F.when(attempt >= retries, "dlq").otherwise("retry")
+    again = F.when(attempt >= retries, "dlq").otherwise("retry")
     permanent = n("permanent_processing", "invalid_scenario", "missing_context_var") > 0
-    return F.when(n("invariant_violation") > 0, "stop").when(n("pulse_infrastructure") > 0, infrastructure).when(permanent, "dlq").otherwise("result")
+    return F.when(n("invariant_violation") > 0, "stop").when(n(infrastructure) > 0, again).when(permanent, "dlq").otherwise("result")
 
 
 def result_status(started: Column, finished: Column, failure: Column) -> Column:

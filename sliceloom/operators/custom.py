@@ -7,7 +7,6 @@ import json
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from ..functions import protobuf, scalars
 from ..functions import columns as C

@@ -54,7 +54,7 @@ QUERIES = {
     "histogram_faults": _RESULTS + "SELECT k AS id, binned_fault AS reason FROM faults",
     "failure_routing": """SELECT event_id, CASE WHEN event_id % 31 = 0 THEN 'stop' WHEN event_id % 7 = 0 THEN CASE WHEN event_id % 4 >= 2 THEN 'dlq' ELSE 'retry' END WHEN event_id % 11 = 0 OR event_id % 13 = 0 THEN 'dlq' ELSE 'result' END AS disposition FROM events""",
     "error_classify": """SELECT event_id, CASE event_id % 11 WHEN 0 THEN 'missing_context_var' WHEN 1 THEN 'invalid_scenario' WHEN 2 THEN concat('target_status:', code) WHEN 3 THEN 'invalid_scenario' WHEN 4 THEN 'target_transport'
-  WHEN 5 THEN concat('target_status:', code) WHEN 6 THEN 'target_timeout' WHEN 7 THEN 'pulse_infrastructure' WHEN 8 THEN 'permanent_processing' WHEN 9 THEN 'cancelled' ELSE 'invariant_violation' END AS kind, event_id % 11 IN (2, 4, 5, 6) AS is_target
+  WHEN 5 THEN concat('target_status:', code) WHEN 6 THEN 'target_timeout' WHEN 7 THEN 'infrastructure' WHEN 8 THEN 'permanent_processing' WHEN 9 THEN 'cancelled' ELSE 'invariant_violation' END AS kind, event_id % 11 IN (2, 4, 5, 6) AS is_target
 FROM (SELECT event_id, CASE WHEN event_id % 2 = 0 THEN 'Unavailable' ELSE 'NotFound' END AS code FROM events)""",
     "result_statuses": "SELECT CASE WHEN l_partkey % 4 = 0 AND l_partkey % 9 <> 0 AND l_quantity::BIGINT > 0 THEN 'Success' ELSE 'Failed' END AS status, count(*) AS n FROM lineitem GROUP BY 1",
     "endpoint_allowlist": "SELECT s_suppkey, s_suppkey % 13 <> 0 AND s_suppkey % 4 IN (0, 1) AS allowed FROM supplier",

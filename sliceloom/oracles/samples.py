@@ -76,7 +76,7 @@ SCALARS = {
     "duration_parse": """SELECT c_custkey, CASE WHEN c_custkey % 5 > 2 OR c_custkey % 11 = 0 OR c_custkey % 13 = 0 THEN NULL
   ELSE nullif(c_custkey % 90, 0) * CASE c_custkey % 5 WHEN 0 THEN 1000 WHEN 1 THEN 60000 ELSE 3600000 END END AS ms FROM customer""",
     "slugify": """SELECT c_custkey, CASE WHEN c_custkey % 10 = 0 THEN 'scenario' ELSE trim(regexp_replace(lower(concat(c_name, '-', c_mktsegment)), '[^a-z0-9]+', '-', 'g'), '-') END AS slug FROM customer""",
-    "base64_forms": "SELECT c_custkey, rtrim(translate(base64(encode(concat(c_name, '?>'))), '+/', '-_'), '=') AS url, CASE WHEN c_custkey % 4 > 0 THEN c_name END AS decoded FROM customer",
+    "base64url": "SELECT c_custkey, rtrim(translate(base64(encode(concat(c_name, '?>'))), '+/', '-_'), '=') AS url, CASE WHEN c_custkey % 4 > 0 THEN c_name END AS decoded FROM customer",
     "numbers": "SELECT c_custkey, CASE c_custkey % 5 WHEN 1 THEN 1500 WHEN 4 THEN c_acctbal END AS x, c_custkey % 5 = 0 AS is_nan FROM customer",
     "comma_lists": "SELECT c_custkey, CASE WHEN c_nationkey = c_custkey % 3 THEN concat_ws('|', c_mktsegment, c_nationkey) ELSE concat_ws('|', c_mktsegment, c_nationkey, c_custkey % 3) END AS parts FROM customer",
     "utf8_truncate": f"""SELECT doc_id, md5(cut) AS cut_md5, strlen(cut)::INT AS bytes, md5(line) AS line_md5 FROM (

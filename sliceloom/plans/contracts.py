@@ -9,7 +9,7 @@ from ..functions import columns as C
 from ..operators import contracts as K
 from ..operators import planning as P
 from ..operators import reconcile as R
-from .tables import deliveries, millis, scenarios, table
+from .tables import deliveries, millis, table
 
 ORDER = ("at_us", "l_partkey", "l_suppkey", "total", "failure", "l_extendedprice", "l_tax", "l_returnflag", "l_linestatus")
 TOPIC = "dlq"
@@ -80,7 +80,7 @@ def histogram_faults(spark: SparkSession, sf_dir: str) -> DataFrame:
 def failure_routing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Measured error kinds of a job, and what becomes of it."""
     k = F.col("event_id")
-    labels = [("invariant_violation", 31), ("pulse_infrastructure", 7), ("permanent_processing", 11), ("missing_context_var", 13), ("target_timeout", 3)]
+    labels = [("invariant_violation", 31), ("infrastructure", 7), ("permanent_processing", 11), ("missing_context_var", 13), ("target_timeout", 3)]
     kinds = F.map_filter(F.create_map(*(x for name, n in labels for x in (F.lit(name), F.when(_every(k, n), 1).otherwise(0)))), lambda _, n: n > 0)
     return table(spark, sf_dir, "events").select("event_id", C.disposition(kinds, k % 4, F.lit(2)).alias("disposition"))
 

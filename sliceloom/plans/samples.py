@@ -154,7 +154,7 @@ def slugify(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "customer").select("c_custkey", C.slugify(name).alias("slug"))
 
 
-def base64_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
+def base64url(spark: SparkSession, sf_dir: str) -> DataFrame:
     """URL-safe without padding, and standard text decoded again, which fails for what is not base64."""
     standard = F.when(F.col("c_custkey") % 4 == 0, F.concat(C.base64_text(F.col("c_name")), F.lit("!"))).otherwise(C.base64_text(F.col("c_name")))
     return table(spark, sf_dir, "customer").select("c_custkey", C.base64_url(F.concat("c_name", F.lit("?>"))).alias("url"), C.from_base64(standard).cast("string").alias("decoded"))
@@ -185,6 +185,6 @@ QUERIES = {
     f.__name__: f
     for f in (
         counter_increase, counter_rate, increase_or_zero, sum_by_label, hq_interpolated, error_ratio, slo_gate, slis, pass_product, gate_rollup, alert_for, alert_rules, max_gauge, cluster_totals, trend_delta, last_n_points,
-        last_threshold, mixed_evidence, history_entries, post_fault_progress, duration_parse, slugify, base64_forms, numbers, comma_lists, utf8_truncate, extract_path,
+        last_threshold, mixed_evidence, history_entries, post_fault_progress, duration_parse, slugify, base64url, numbers, comma_lists, utf8_truncate, extract_path,
     )
 }

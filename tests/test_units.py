@@ -62,7 +62,7 @@ def test_scalar_columns(spark):
     assert [get(C.host_allowed(F.lit(e), hosts)) for e in ("http://LOCALHOST:1", "http://x.a.example", "nothing")] == [True, False, False] and get(C.host_allowed(F.lit("http://b"), hosts, any_host=True))
     kinds = lambda **k: F.create_map(*(x for a, b in k.items() for x in (F.lit(a), F.lit(b))))
     route = lambda attempt, **k: get(C.disposition(kinds(**k), F.lit(attempt), F.lit(2)))
-    assert [route(0, invariant_violation=1, pulse_infrastructure=1), route(0, pulse_infrastructure=1), route(2, pulse_infrastructure=1), route(0, invalid_scenario=1), route(0, target_timeout=3)] == ["stop", "retry", "dlq", "dlq", "result"]
+    assert [route(0, invariant_violation=1, infrastructure=1), route(0, infrastructure=1), route(2, infrastructure=1), route(0, invalid_scenario=1), route(0, target_timeout=3)] == ["stop", "retry", "dlq", "dlq", "result"]
     assert get(C.summary_event(F.lit("r"), F.lit(2), F.lit("TimedOut"))) == "r:summary:r2:timed-out"
 
 
