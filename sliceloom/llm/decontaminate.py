@@ -9,7 +9,6 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from .common import by_size, shingle_hashes, table, utf8, word_hashes, words
 
