@@ -5,6 +5,7 @@ A word is a maximal run of bytes outside ``[\\x20\\x09-\\x0D]``. Hashes are 64 b
 
 from __future__ import annotations
 
+import ctypes
 import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
@@ -73,8 +74,27 @@ def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return raw[off[0] : off[-1]], off - off[0]
 
 
+def give_back() -> None:
+    """Free memory of this worker, which lives on when its task has ended, goes back to the system: Arrow's, and the C library's where it can."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # another C library
+        pass
+
+
+def tidied(run):
+    """``run``, a function of batches, with ``give_back`` at its end."""
+
+    def tidy(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from run(batches)
+        give_back()
+
+    return tidy
+
+
 def by_size(batches: Iterator[pa.RecordBatch], column: str, most: int = 1 << 20) -> Iterator[pa.RecordBatch]:
-    """The same rows in batches of at most ``most`` text bytes, or of one longer row. At the end what Arrow keeps for later goes back, as the worker lives on."""
+    """The same rows in batches of at most ``most`` text bytes, or of one longer row. At the end memory is given back."""
     for batch in batches:
         if not batch.num_rows:
             continue
@@ -84,7 +104,7 @@ def by_size(batches: Iterator[pa.RecordBatch], column: str, most: int = 1 << 20)
             end = max(at + 1, int(np.searchsorted(off, off[at] + most, "right")) - 1)
             yield batch.slice(at, end - at)
             at = end
-    pa.default_memory_pool().release_unused()
+    give_back()
 
 
 def mix(x: np.ndarray) -> np.ndarray:

@@ -14,7 +14,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import _powers, by_size, materialize, mix, table, utf8
+from .common import _powers, by_size, materialize, mix, table, tidied, utf8
 from .exact import with_groups
 
 LENGTH = 50
@@ -125,7 +125,7 @@ def _rows(names: list[str], rows: list[tuple]) -> pa.RecordBatch:
 def _squeeze(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Texts as they are shuffled: compressed, with their size."""
     z = zstandard.ZstdCompressor(level=1)
-    for batch in by_size(batches, "text", 4 << 20):
+    for batch in by_size(batches, "text", 2 << 20):
         raw, off = utf8(batch.column(2))
         blobs = [z.compress(raw[a:b]) for a, b in zip(off[:-1], off[1:], strict=True)]
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), np.diff(off), pa.array(blobs, pa.binary())], names=["doc_id", "rid", "n", "body"])
@@ -148,7 +148,7 @@ def _offer(buckets: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         chunk = TaskContext.get().partitionId() << 24
-        for batch in by_size(batches, "text", 4 << 20):
+        for batch in by_size(batches, "text", 2 << 20):
             raw, off = utf8(batch.column(2))
             h, _, _, which = anchors(raw, off)
             both = np.lexsort((h, which))
@@ -531,17 +531,17 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
     copies = firsts.where("doc_id > first").select("doc_id", "rid", F.lit(True).alias("copy"))
     copies = materialize(copies.repartition(parts, "doc_id", "rid").distinct(), "copies")
     live = rows.where("doc_id IS NOT NULL")
-    told = live.mapInArrow(_offer(4 * parts), "key long, chunk long, kind int, payload binary").repartition(parts, "key").mapInArrow(_answer, "chunk long, kind int, payload binary")
+    told = live.mapInArrow(tidied(_offer(4 * parts)), "key long, chunk long, kind int, payload binary").repartition(parts, "key").mapInArrow(tidied(_answer), "chunk long, kind int, payload binary")
     shared = told.groupBy("chunk").applyInPandas(_address, "doc_id long, rid long, shared binary")
     shared = shared.repartition(parts, "doc_id", "rid").groupBy("doc_id", "rid").agg(F.first("shared").alias("shared"))
-    dealt = rows.mapInArrow(_squeeze, "doc_id long, rid long, n long, body binary").repartition(parts, "doc_id", "rid")
+    dealt = rows.mapInArrow(tidied(_squeeze), "doc_id long, rid long, n long, body binary").repartition(parts, "doc_id", "rid")
     copies = copies.repartition(parts, "doc_id", "rid")
     # both uses of the texts are left joins of one exchange, so that the second reuses the first's files; all sides are dealt alike
     asked = dealt.join(shared, ["doc_id", "rid"], "left").join(copies, ["doc_id", "rid"], "left")
-    sent = asked.select("doc_id", "rid", "n", "body", "shared", "copy").mapInArrow(_extract(4 * SECTIONS * parts), "key long, payload binary").repartition(parts, "key")
-    spans = sent.mapInArrow(_match(parts), "key long, payload binary").repartition(parts, "key").mapInArrow(_gather, "doc_id long, rid long, spans binary").repartition(parts, "doc_id", "rid")
+    sent = asked.select("doc_id", "rid", "n", "body", "shared", "copy").mapInArrow(tidied(_extract(4 * SECTIONS * parts)), "key long, payload binary").repartition(parts, "key")
+    spans = sent.mapInArrow(tidied(_match(parts)), "key long, payload binary").repartition(parts, "key").mapInArrow(tidied(_gather), "doc_id long, rid long, spans binary").repartition(parts, "doc_id", "rid")
     final = dealt.join(spans, ["doc_id", "rid"], "left").join(copies, ["doc_id", "rid"], "left")
-    return final.select("doc_id", "rid", "n", "body", "copy", "spans").mapInArrow(_remove, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, spans array<long>")
+    return final.select("doc_id", "rid", "n", "body", "copy", "spans").mapInArrow(tidied(_remove), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, spans array<long>")
 
 
 def op3_repeated_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
