@@ -8,30 +8,35 @@ from pyspark.sql import functions as F
 from .common import materialize
 
 
-def _pull(edges: DataFrame, small: bool) -> DataFrame:
-    """One large-star (each larger neighbour to the least one) or small-star round."""
-    both = edges.select("u", "v").union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    near = both.where("v < u") if small else both
-    least = near.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-    held = near.join(least, "u")
-    moved = held.where("v != m").select(F.col("v").alias("u"), F.col("m").alias("v")) if small else held.where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-    if small:
-        moved = moved.union(least.select("u", F.col("m").alias("v")))
-    return moved.where("u != v").distinct()
+def _large_star(edges: DataFrame) -> DataFrame:
+    """Each larger neighbour of a node goes to the least of the node and all its neighbours. ``edges`` have u > v, and so has the result, in which edges may repeat."""
+    turned = edges.select(F.col("v").alias("u"), F.col("u").alias("v"))
+    least = edges.select("u", "v").union(turned).groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+    return turned.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+
+
+def _small_star(edges: DataFrame) -> DataFrame:
+    """Each node and its smaller neighbours go to the least of these. ``edges`` have u > v, and so has the result."""
+    least = edges.groupBy("u").agg(F.min("v").alias("m"))
+    # the least neighbour's own row leads the node to it
+    return edges.join(least, "u").select(F.when(F.col("v") == F.col("m"), F.col("u")).otherwise(F.col("v")).alias("u"), F.col("m").alias("v")).distinct()
+
+
+def _only_stars(edges: DataFrame) -> bool:
+    """Whether each node has one neighbour below it at most, which has none. With u > v, rounds then change nothing any more."""
+    ends = edges.select(F.col("u").alias("node"), F.lit(1).alias("below"), F.lit(0).alias("above")).union(edges.select("v", F.lit(0), F.lit(1)))
+    met = ends.groupBy("node").agg(F.sum("below").alias("below"), F.max("above").alias("above"))
+    return met.agg(F.count_if((F.col("below") > 1) | ((F.col("below") > 0) & (F.col("above") > 0)))).first()[0] == 0
 
 
 def components(edges: DataFrame) -> DataFrame:
     """(id, component): the smallest id reachable from each id that has an edge.
 
-    Alternates large-star and small-star rounds until the edges no longer change, each round written
-    to the shared folder. ``edges`` has columns u and v; loops and repeated edges do no harm.
+    Alternates large-star and small-star rounds until only stars are left, each written
+    to the shared folder, so that no plan holds another's. ``edges`` has columns u and v; loops and
+    repeated edges do no harm.
     """
     now = materialize(edges.where("u != v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "edges")
-    state = None
-    while True:
-        now = materialize(_pull(_pull(now, small=False), small=True), "stars")
-        seen = now.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(20,0)"))).first()
-        if seen == state:
-            break
-        state = seen
+    while not _only_stars(now):
+        now = materialize(_small_star(materialize(_large_star(now), "large-stars")), "stars")
     return now.select(F.col("u").alias("id"), F.col("v").alias("component")).union(now.select("v", "v").distinct())

@@ -10,7 +10,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import by_size, table, utf8
+from .common import by_size, materialize, table, utf8
 
 #: Labelled rows that the model is fitted on, the first by a hash of the id.
 FIT_ROWS = 6000
@@ -115,7 +115,7 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS) -> QualityMode
         one = marks.where(F.col("label") == label).orderBy(F.xxhash64("id"), "id").limit(rows // 2)
         picked = one if picked is None else picked.union(one)
     place = F.row_number().over(Window.partitionBy("label").orderBy(F.xxhash64("id"), "id"))
-    picked = picked.withColumn("half", place % 2)
+    picked = materialize(picked.withColumn("half", place % 2), "picked")
     texts = docs.select(docs["doc_id"], docs["text"]).join(F.broadcast(picked), docs["doc_id"] == picked["id"]).select(F.xxhash64("id").alias("h"), "label", "text", "half")
     pieces = texts.where("half = 1").mapInArrow(_cut, "h long, label int, at long, piece binary").select("label", F.xxhash64("h", "piece").alias("h"), "piece")
     first = {k: [bytes(r["piece"]) for r in pieces.where(F.col("label") == k).orderBy("h", "piece").limit(PIECES).collect()] for k in (0, 1)}

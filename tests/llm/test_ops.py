@@ -13,7 +13,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from sliceloom.llm import decontaminate, exact, extract, lm, mixing, neardup, quality, registry, substrings, tokens, warc
+from sliceloom.llm import components, decontaminate, exact, extract, lm, mixing, neardup, quality, registry, substrings, tokens, warc
 from tests.test_queries import SF, duck, same  # noqa: F401
 
 SCHEMA = "doc_id long, text string, source string, id long, n long, key string, html string"
@@ -185,6 +185,33 @@ def test_quality(spark, odd, none):
     assert quality.scored(none, model).count() == 0 and quality.fit(none, labels).score(np.zeros(1))[0] == 0.5
 
 
+def test_component_rounds(spark, monkeypatch):
+    """Against union-find; and each star's plan stands alone, as tasks of nested ones made up half of the driver's."""
+    rng = np.random.default_rng(5)
+    edges = [(i, i + 1) for i in range(100, 160)] + [(0, i) for i in range(1, 40)] + [(int(u), int(v)) for u, v in rng.integers(200, 400, (150, 2))] + [(7, 7), (3, 0), (0, 3)]
+    leader = {i: i for e in edges for i in e if e[0] != e[1]}
+
+    def top(i):
+        while leader[i] != i:
+            i = leader[i]
+        return i
+
+    for u, v in edges:
+        if u != v and top(u) != top(v):
+            leader[max(top(u), top(v))] = min(top(u), top(v))
+    written, plans = components.materialize, []
+
+    def noted(df, name):
+        plans.append((name, df._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0].count("Exchange hashpartitioning")))
+        return written(df, name)
+
+    monkeypatch.setattr(components, "materialize", noted)
+    found = components.components(spark.createDataFrame(edges, "u long, v long")).collect()
+    assert sorted((r["id"], r["component"]) for r in found) == sorted((i, top(i)) for i in leader)
+    assert max(n for name, n in plans if "stars" in name) <= 4
+    assert components.components(spark.createDataFrame([], "u long, v long")).count() == 0
+
+
 def test_tokens(spark, odd, none):
     from tokenizers import Tokenizer
 
