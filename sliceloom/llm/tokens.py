@@ -14,7 +14,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import by_size, lower_ascii, materialize, shared_dir, table, utf8, words
+from .common import by_size, materialize, shared_dir, table, utf8, words
 from .files import write_file
 
 MAGIC = b"SLDAC1\0\0"
@@ -104,6 +104,10 @@ def open_file(data: bytes) -> tuple[np.ndarray, np.ndarray, Codes]:
 
 #: 0 beyond ASCII, 1 letter, 2 digit, 3 other.
 _KINDS = np.array([0 if b > 127 else 1 if chr(b).isalpha() else 2 if chr(b).isdigit() else 3 for b in range(256)], np.uint8)
+#: Whether a word is cut between characters of kinds a and b, at 4 * a + b.
+_CUTS = np.array([a > 0 and b > 0 and (a != b or a == 2) for a in range(4) for b in range(4)])
+#: Pieces that are encoded as one text.
+TOGETHER = 256
 
 
 class WordEncoder:
@@ -121,6 +125,9 @@ class WordEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer, self.known = Tokenizer.from_file(vocabulary), {}
+        ids = self.tokenizer.get_vocab(with_added_tokens=False)
+        self.last = np.zeros(max(ids.values(), default=0) + 1, bool)  # the tokens that end a word of the model
+        self.last[[i for token, i in ids.items() if token.endswith("</w>")]] = True
 
     @classmethod
     def of(cls, vocabulary: str) -> WordEncoder:
@@ -129,22 +136,49 @@ class WordEncoder:
             cls._kept[vocabulary] = cls(vocabulary)
         return cls._kept[vocabulary]
 
+    def _new_ids(self, new: list[bytes]) -> list[bytes]:
+        """The ids of each piece, as the bytes of unsigned 32-bit numbers.
+
+        Letters alone, or a digit, are one word of the model, and its last token says so: many are encoded
+        as one text and taken apart there. Other pieces may be several words and are encoded one by one.
+        """
+        out: list[bytes] = [b""] * len(new)
+        single, others = [], []
+        for i, x in enumerate(new):
+            (single if x.isalnum() else others).append(i)
+        groups = [single[at : at + TOGETHER] for at in range(0, len(single), TOGETHER)]
+        for mine, code in zip(groups, self._codes([b" ".join([new[i] for i in mine]) for mine in groups]), strict=True):
+            ids, begin = np.array(code.ids, np.uint32), 0
+            stops = (np.flatnonzero(self.last[ids]) + 1) * 4
+            if len(stops) != len(mine):  # a vocabulary without such marks
+                others += mine
+                continue
+            flat = ids.tobytes()
+            for i, stop in zip(mine, stops.tolist(), strict=True):
+                out[i] = flat[begin:stop]
+                begin = stop
+        for i, code in zip(others, self._codes([new[i] for i in others]), strict=True):
+            out[i] = array("I", code.ids).tobytes()
+        return out
+
+    def _codes(self, texts: list[bytes]) -> list:
+        return self.tokenizer.encode_batch_fast([x.decode() for x in texts], add_special_tokens=False)
+
     def _word_ids(self, distinct: list[bytes]) -> list[bytes]:
-        """The ids of each word, as the bytes of unsigned 32-bit numbers."""
+        """The ids of each piece, as the bytes of unsigned 32-bit numbers."""
         out = list(map(self.known.get, distinct))
         new = [i for i, x in enumerate(out) if x is None]
         if len(self.known) + len(new) > CACHE_WORDS:
             self.known = {}
-        codes = self.tokenizer.encode_batch_fast([distinct[i].decode() for i in new], add_special_tokens=False)
-        for i, code in zip(new, codes, strict=True):
-            out[i] = array("I", code.ids).tobytes()
+        for i, ids in zip(new, self._new_ids([distinct[i] for i in new]), strict=True):
+            out[i] = ids
             if len(distinct[i]) <= CACHE_BYTES:
-                self.known[distinct[i]] = out[i]
+                self.known[distinct[i]] = ids
         return out
 
     @staticmethod
     def _pieces(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """The words' bytes end to end, n + 1 offsets of pieces into them, and the place of each word's first piece.
+        """The words' bytes end to end, and n + 1 offsets into them of pieces and of words.
 
         The pattern takes runs of letters, single digits, runs of others, and contractions. Words with an
         apostrophe (contractions) or "<" (special tokens) stay whole; others are cut where two ASCII
@@ -152,40 +186,41 @@ class WordEncoder:
         any kind, so nothing is cut next to them. Pieces of ASCII alone are put in lower case, as the
         normalizer does.
         """
-        size = ends - starts
-        at = np.append(0, np.cumsum(size))
-        solid = raw[np.repeat(starts - at[:-1], size) + np.arange(at[-1])]
+        at = np.append(0, np.cumsum(ends - starts))
+        solid = raw[(raw != 32) & ((raw < 9) | (raw > 13))]
         if not len(solid):
-            return solid, np.zeros(1, np.int64), np.zeros(len(starts) + 1, np.int64)
+            return solid, np.zeros(1, np.int64), at
         kind = _KINDS[solid]
-        odd = np.append(0, np.cumsum((solid == 39) | (solid == 60), dtype=np.int32))
-        plain = np.repeat(odd[at[1:]] == odd[at[:-1]], size)
-        cut = np.zeros(len(solid) + 1, bool)
-        cut[1:-1] = plain[1:] & (kind[1:] > 0) & (kind[:-1] > 0) & ((kind[1:] != kind[:-1]) | (kind[1:] == 2))
+        cut = np.ones(len(solid) + 1, bool)
+        cut[1:-1] = _CUTS[kind[:-1] * 4 + kind[1:]]
+        odd = np.flatnonzero((solid == 39) | (solid == 60))
+        whole = np.unique(np.searchsorted(at, odd, "right") - 1)
+        size = at[whole + 1] - at[whole]
+        cut[np.repeat(at[whole] - np.append(0, np.cumsum(size))[:-1], size) + np.arange(size.sum())] = False
         cut[at] = True
         off = np.flatnonzero(cut)
-        wide = np.append(0, np.cumsum(kind == 0, dtype=np.int32))
-        ascii_ = np.repeat(wide[off[1:]] == wide[off[:-1]], np.diff(off))
-        return np.where(plain & ascii_, lower_ascii(solid), solid), off, np.searchsorted(off, at)
+        kind[odd] = 0
+        plain = np.minimum.reduceat(kind, off[:-1]) > 0
+        upper = np.flatnonzero((solid >= 65) & (solid <= 90))
+        solid[upper[plain[np.searchsorted(off, upper, "right") - 1]]] += 32
+        return solid, off, at
 
     def encode(self, texts: pa.Array, end: int) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts end to end, each followed by ``end``, and how many each has."""
         raw, off = utf8(texts)
         starts, ends, doc = words(raw, off)
-        solid, at, first = self._pieces(raw, starts, ends)
-        doc = first[doc]
-        column = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(at) - 1, [None, pa.py_buffer(at.astype(np.int64)), pa.py_buffer(np.ascontiguousarray(solid))])
+        solid, at, word = self._pieces(raw, starts, ends)
+        doc = np.searchsorted(at, word[doc])
+        column = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(at) - 1, [None, pa.py_buffer(at.astype(np.int64)), pa.py_buffer(solid)])
         coded = column.dictionary_encode()
-        which, parts = coded.indices.to_numpy(), self._word_ids(coded.dictionary.to_pylist())
-        n = np.array([len(p) for p in parts], np.int64) // 4
-        flat, first = np.frombuffer(b"".join(parts), np.uint32), np.append(0, np.cumsum(n))
-        count = n[which]
-        total = np.append(0, np.cumsum(count))
-        ids = flat[np.repeat(first[which] - total[:-1], count) + np.arange(total[-1])]
-        length = total[doc[1:]] - total[doc[:-1]]
-        out = np.full(len(ids) + len(length), end, np.uint32)
-        out[np.arange(len(ids)) + np.repeat(np.arange(len(length)), length)] = ids
-        return out, length + 1
+        parts = self._word_ids(coded.dictionary.to_pylist())
+        # behind each text's pieces, one more that is the end alone
+        which = np.insert(coded.indices.to_numpy(), doc[1:], len(parts))
+        placed = pa.array([*parts, array("I", [end]).tobytes()], pa.large_binary()).take(pa.array(which))
+        _, offsets, data = placed.buffers()
+        total = np.frombuffer(offsets, np.int64)[: len(which) + 1] // 4
+        stops = total[doc[1:] + np.arange(1, len(doc))]
+        return np.frombuffer(data, np.uint32, int(total[-1])), np.diff(stops, prepend=0)
 
 
 def _encode(vocabulary: str, end: int, folder: str):

@@ -232,6 +232,34 @@ def test_tokens(spark, odd, none):
     assert tokens.tokenized(none, path).count() == 0
 
 
+def test_new_words_go_together():
+    """Many new words make few texts for the tokenizer, and any mix of characters has the ids of the whole text; also without marks of words' ends."""
+    from tokenizers import Tokenizer
+
+    class Counted:
+        def __init__(self, of):
+            self.of, self.texts = of, 0
+
+        def encode_batch_fast(self, texts, **more):
+            self.texts += len(texts)
+            return self.of.encode_batch_fast(texts, **more)
+
+    path = tokens.vocabulary_path()
+    plain, rng = Tokenizer.from_file(path), np.random.default_rng(5)
+    encoder = tokens.WordEncoder(path)
+    encoder.tokenizer = Counted(encoder.tokenizer)
+    parts = ["a", "B", "é", "É", "'", "<", "<|endoftext|>", " ", "\n", "1", "2", "٣", ".", "|", "'s", "한", "\u0301", "\x1f", "\x85", "İ", "ß", "Z"]
+    mixed = ["".join(rng.choice(parts, n)) for n in rng.integers(0, 30, 500)]
+    many = " ".join("".join(x) for x in rng.choice(list("abcdefghijK"), (5000, 9)))
+    encoder.encode(pa.array([many], pa.string()), 2)
+    assert encoder.tokenizer.texts <= 50
+    for marked in (True, False):
+        encoder.known, encoder.last = {}, encoder.last & marked
+        ids, n = encoder.encode(pa.array([many, *mixed], pa.string()), 2)
+        want = [[*plain.encode(t, add_special_tokens=False).ids, 2] for t in (many, *mixed)]
+        assert ids.tolist() == sum(want, []) and n.tolist() == [len(w) for w in want]
+
+
 def test_codes():
     ids = np.random.default_rng(5).integers(0, 1 << 20, 5000).astype(np.uint32)
     ids[::3] %= 200
