@@ -17,9 +17,10 @@ def _large_star(edges: DataFrame) -> DataFrame:
 
 def _small_star(edges: DataFrame) -> DataFrame:
     """Each node and its smaller neighbours go to the least of these. ``edges`` have u > v, and so has the result."""
-    least = edges.groupBy("u").agg(F.min("v").alias("m"))
-    # the least neighbour's own row leads the node to it
-    return edges.join(least, "u").select(F.when(F.col("v") == F.col("m"), F.col("u")).otherwise(F.col("v")).alias("u"), F.col("m").alias("v")).distinct()
+    least = edges.groupBy("u").agg(F.min("v").alias("m"), F.max("v").alias("most"))
+    # only a node with several smaller neighbours moves any
+    moved = edges.join(least.where("m != most").select("u", "m"), "u").where("v != m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+    return moved.union(least.select("u", F.col("m").alias("v"))).distinct()
 
 
 def _only_stars(edges: DataFrame) -> bool:
