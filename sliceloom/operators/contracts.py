@@ -105,14 +105,20 @@ POISON = (
 
 def envelope(value: Column) -> Column:
     """failed_job or poison, by the keys of the JSON object; ambiguous with both kinds, unknown with neither, malformed if it is no object."""
-    keys = F.json_object_keys(value)
+    return _envelope(F.json_object_keys(value))
+
+
+def _envelope(keys: Column) -> Column:
     failed, poison = (F.arrays_overlap(keys, F.array(*map(F.lit, m))) for m in (FAILED_MARKS, POISON_MARKS))
     return F.when(keys.isNull(), "malformed").when(failed & poison, "ambiguous").when(failed, "failed_job").when(poison, "poison").otherwise("unknown")
 
 
 def unknown_fields(value: Column) -> Column:
     """The keys that an envelope of its kind may not have."""
-    keys, kind = F.json_object_keys(value), envelope(value)
+    return _unknown(F.json_object_keys(value), envelope(value))
+
+
+def _unknown(keys: Column, kind: Column) -> Column:
     allowed = F.when(kind == "failed_job", F.array(*map(F.lit, FAILED_FIELDS))).otherwise(F.array(*map(F.lit, POISON_FIELDS)))
     return F.when(kind.isin("failed_job", "poison"), F.array_except(keys, allowed)).otherwise(F.array().cast("array<string>"))
 
@@ -159,12 +165,17 @@ def poison_fault(of: str = "poison") -> Column:
 
 
 def letters(records: DataFrame) -> DataFrame:
-    """Records (value, JSON) with class, failed, poison and fault: the class if it is neither kind, an unknown field, or the first bad one."""
-    kind = envelope(col("value"))
-    rows = records.withColumn("class", kind).withColumn("failed", F.when(col("class") == "failed_job", F.from_json("value", FAILED))).withColumn("poison", F.when(col("class") == "poison", F.from_json("value", POISON)))
-    odd = unknown_fields(col("value"))
+    """Records (value, JSON) with class, failed, poison and fault: the class if it is neither kind, an unknown field, or the first bad one.
+
+    They come out of a generator, which no filter passes: one on ``fault`` would be written out down to the
+    source, with the JSON made and parsed again at each of its many mentions.
+    """
+    rows = records.withColumn("_keys", F.json_object_keys("value")).withColumn("class", _envelope(col("_keys"))).withColumn("failed", F.when(col("class") == "failed_job", F.from_json("value", FAILED))).withColumn("poison", F.when(col("class") == "poison", F.from_json("value", POISON)))
+    odd = _unknown(col("_keys"), col("class"))
     fault = F.when(~col("class").isin("failed_job", "poison"), col("class")).when(F.size(odd) > 0, F.concat(F.lit("unknown field "), F.array_min(odd)))
-    return rows.withColumn("fault", F.coalesce(fault, F.when(col("class") == "failed_job", failed_fault()), F.when(col("class") == "poison", poison_fault())))
+    rows = rows.withColumn("fault", F.coalesce(fault, F.when(col("class") == "failed_job", failed_fault()), F.when(col("class") == "poison", poison_fault())))
+    made = ("class", "failed", "poison", "fault")
+    return rows.select(*(c for c in records.columns if c not in made), F.inline(F.array(F.struct(*made))))
 
 
 def chosen(scenarios: tuple[str, ...] = (), since_ms: int | None = None, until_ms: int | None = None, contains: str | None = None) -> Column:

@@ -387,3 +387,9 @@ def test_windows_reach_the_end(spark, tmp_path):
     for key, every in ((4, 300_000), (5, 60_000)):
         assert sorted((r.scheduled_ms, r.next_ms) for r in rows if r.o_orderkey == key) == [(t, t + every) for t in range(begin, begin + 3_600_001, every)]
     assert [(r.scheduled_ms, r.next_ms) for r in rows if r.o_orderkey == 7] == [(begin, None)]
+
+
+def test_filtered_letters_are_parsed_once(spark):
+    rows = K.letters(spark.createDataFrame([("{}",)], "value string").withColumn("value", F.to_json(F.struct("value"))))
+    parsed = lambda df: df._jdf.queryExecution().optimizedPlan().toString().count("from_json(")
+    assert 0 < parsed(rows.where("fault IS NULL")) <= parsed(rows) and 0 < parsed(rows.where("fault LIKE 'unknown%'")) <= parsed(rows)
