@@ -44,12 +44,15 @@ def jobs(scenarios: DataFrame, scheduled_ms: Column, max_retries: int = 2) -> Da
 def pacing(slices: DataFrame) -> DataFrame:
     """Every start of every slice: k and at_s, while before the end. Holds as long as no place is waited for.
 
-    Slices are few and starts are many, so slices are dealt to all tasks before they are expanded.
+    Slices are few and starts are many, so slices are dealt to all tasks before they are expanded. Those of one scenario
+    stay together and those of equal pace follow each other: their starts are the same numbers, which a columnar file
+    keeps once, where slices dealt apart would each bring numbers of their own.
     """
     ms = F.col("duration_ms").cast("double")
     most = F.ceil(F.col("rate") * F.col("duration_ms") / 1000) + F.col("burst")
     n = int(slices.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    starts = slices.repartition(n, "scenario_id", "slice_index").withColumn("k", F.explode(F.sequence(F.lit(0).cast("long"), most.cast("long"))))
+    dealt = slices.repartition(n, "scenario_id").sortWithinPartitions("rate", "burst", "duration_ms", "scenario_id", "slice_index")
+    starts = dealt.withColumn("k", F.explode(F.sequence(F.lit(0).cast("long"), most.cast("long"))))
     at = C.start_s(F.col("k"), F.col("rate"), F.col("burst"))
     return starts.withColumn("at_s", at).where(F.col("at_s") < ms / 1000)
 

@@ -393,3 +393,14 @@ def test_filtered_letters_are_parsed_once(spark):
     rows = K.letters(spark.createDataFrame([("{}",)], "value string").withColumn("value", F.to_json(F.struct("value"))))
     parsed = lambda df: df._jdf.queryExecution().optimizedPlan().toString().count("from_json(")
     assert 0 < parsed(rows.where("fault IS NULL")) <= parsed(rows) and 0 < parsed(rows.where("fault LIKE 'unknown%'")) <= parsed(rows)
+
+
+def test_paced_slices_of_a_scenario_follow_each_other(spark):
+    """Their starts are the same numbers, and are written side by side."""
+    rows = P.pacing(P.sliced(spark.createDataFrame([(f"s{i}", 60.0 + i % 2, 12, 1000, 0) for i in range(20)], "scenario_id string, rate double, concurrency int, duration_ms int, burst int")))
+    got = [(r.part, r.scenario_id, r.slice_index, r.rate) for r in rows.withColumn("part", F.spark_partition_id()).collect()]
+    places = {x[:3] for x in got}
+    assert len({(part, s) for part, s, _ in places}) == 20 and len(places) == 10 * 6 + 10 * 7
+    assert all(a[3] <= b[3] for a, b in zip(got, got[1:], strict=False) if a[0] == b[0])
+    changes = sum(a[:3] != b[:3] for a, b in zip(got, got[1:], strict=False))
+    assert changes == len(places) - 1
