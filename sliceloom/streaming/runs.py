@@ -10,8 +10,10 @@ from __future__ import annotations
 import json
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
@@ -215,21 +217,183 @@ def summaries(rows: DataFrame, partial_ms: int = 60_000, retention_ms: int | Non
     return rows.groupBy("run_id").applyInPandasWithState(_update(partial_ms, retention_ms), OUTPUT, STATE, "append", GroupStateTimeout.ProcessingTimeTimeout)
 
 
-def replayed(rows: DataFrame, partial_ms: int = 60_000, end_ms: int | None = None) -> DataFrame:
-    """The same log from a bounded table, in order of time; at ``end_ms`` the deadlines of runs that are still open are looked at once more.
+def _numbers(column: pa.Array) -> np.ndarray | None:
+    """Items of lists, a row of lists of one length each; decimals as their two halves. None if it cannot be that."""
+    flat = column.flatten()
+    if flat.null_count or not len(column) or len(flat) % len(column):
+        return None
+    if pa.types.is_decimal128(flat.type):
+        return np.frombuffer(flat.buffers()[1], "<i8")[2 * flat.offset : 2 * (flat.offset + len(flat))].reshape(len(column), -1)
+    return flat.to_numpy().reshape(len(column), -1) if pa.types.is_int64(flat.type) else None
 
-    Rows are dealt and sorted by run and folded as they pass, so a task holds one run's state and no group is collected.
+
+class _Plain:
+    """Many runs of one batch at once: what ``Run`` makes of runs that have results only, well formed, each key at one slice.
+
+    ``runs`` has each row's run, rising from 0; ``odd`` says of each run whether it is not of that kind and is left to ``Run``.
     """
 
+    MOST, KINDS_AT_ONCE = 62, KINDS
+    WHOLE = ("run_id", "kind", "scenario_id", "schema_version", "slice_index", "slices", "execution_key", "total", "success", "failure", "bounds", "counts", "at_ms")
+
+    def __init__(self, batch: pa.RecordBatch, runs: np.ndarray, count: int):
+        self.batch, self.g, self.n = batch, runs, count
+        self.odd = np.zeros(count, bool)
+        # runs with a null or with lists of another length than most are left out at once, the others are looked at
+        lengths = [batch.column(c).value_lengths().fill_null(-1).to_numpy() for c in ("bounds", "counts")]
+        wide = int(np.bincount(lengths[0] + 1).argmax()) - 1
+        bad = (lengths[0] != wide) | (lengths[1] != wide)
+        for c in self.WHOLE:
+            if batch.column(c).null_count:
+                bad |= batch.column(c).is_null().to_numpy(zero_copy_only=False)
+        if bad.any():
+            self.odd[runs[bad]] = True
+            keep = np.flatnonzero(~self.odd[runs])
+            self.batch, self.g = batch.take(pa.array(keep)), runs[keep]
+        if wide < 1 or not len(self.g):
+            self.odd[:] = True
+        else:
+            self._check()
+
+    def column(self, name: str) -> np.ndarray:
+        return self.batch.column(name).to_numpy(zero_copy_only=False)
+
+    def codes(self, name: str) -> np.ndarray:
+        return self.batch.column(name).dictionary_encode().indices.to_numpy()
+
+    def _check(self) -> None:
+        b, g = self.batch, self.g
+        start = np.searchsorted(g, np.arange(self.n))
+        self.last = np.append(start[1:], len(g)) - 1
+        first = np.minimum(start, len(g) - 1)
+        i, of, at = (self.column(c).astype(np.int64) for c in ("slice_index", "slices", "at_ms"))
+        sums = np.stack([self.column(c) for c in ("total", "success", "failure")], 1)
+        bad = (i < 0) | (i >= of) | (of > self.MOST) | (at < 0) | (self.column("kind") != "result") | (np.abs(sums) > EXACT // len(b)).any(1)
+        for same in (of, self.codes("scenario_id"), self.column("schema_version")):
+            bad |= same != same[first][g]
+        bad[1:] |= (at[1:] < at[:-1]) & (g[1:] == g[:-1])
+        # a key stands at one slice
+        key = self.codes("execution_key").astype(np.int64)
+        _, where, back = np.unique(g * (int(key.max()) + 1) + key, return_index=True, return_inverse=True)
+        bad |= i != i[where][back]
+        bounds, counts = b.column("bounds"), b.column("counts")
+        values, numbers = _numbers(bounds), _numbers(counts)
+        kinds, errors = b.column("errors").keys.dictionary_encode(), b.column("errors")
+        if values is None or numbers is None or len(kinds.dictionary) > self.KINDS_AT_ONCE or errors.items.null_count or errors.offset:
+            self.odd[:] = True
+            return
+        bad |= (values != values[0]).any(1) | (numbers < 0).any(1) | (numbers > EXACT // len(b)).any(1)
+        sizes = np.diff(errors.offsets.to_numpy())
+        amounts = errors.items.to_numpy()
+        owner = np.repeat(np.arange(len(b)), sizes)
+        if len(amounts) != len(owner):
+            self.odd[:] = True
+            return
+        bad[owner[np.abs(amounts) > EXACT // len(b)]] = True
+        self.odd[g[bad]] = True
+        self.first, self.i, self.of, self.at, self.sums, self.key = first, np.clip(i, 0, self.MOST), of[first], at, sums, key
+        self.bounds, self.counts = [int(x) for x in bounds[0].as_py()], numbers
+        self.kinds, self.kind, self.owner, self.amounts = kinds.dictionary.to_pylist(), kinds.indices.to_numpy(), owner, amounts
+
+    def _upto(self, x: np.ndarray, taken: np.ndarray) -> np.ndarray:
+        """What has been taken of a run up to each row and with it."""
+        x = np.where(taken if x.ndim == 1 else taken[:, None], x, 0)
+        c = np.cumsum(x, axis=0)
+        return c - (c[self.first] - x[self.first])[self.g]
+
+    def log(self, partial_ms: int, end_ms: int | None) -> pa.RecordBatch:
+        """The summaries of all runs that are not odd."""
+        g, at, rows = self.g, self.at, np.arange(len(self.g))
+        last = self.last
+        _, where, back = np.unique(g * 64 + self.i, return_index=True, return_inverse=True)
+        taken = np.zeros(len(g), bool)
+        taken[where] = True
+        conflict = self.key != self.key[where][back]
+        received = self._upto(np.ones(len(g), np.int64), taken)
+        never = len(g)
+
+        def earliest(c: np.ndarray) -> np.ndarray:
+            out = np.full(self.n, never)
+            np.minimum.at(out, g[c], rows[c])
+            return out
+
+        whole = earliest(taken & (received == self.of[g]))
+        deadline = at[self.first] + partial_ms
+        expired = earliest((at >= deadline[g]) & (rows > self.first[g]))
+        expired[expired > whole] = never
+        ended = (whole == never) & (expired == never) & (deadline <= (end_ms if end_ms is not None else -(1 << 62)))
+        fine = ~self.odd
+        e, w, d = (np.flatnonzero(x & fine) for x in (expired < never, whole < never, ended))
+        c = np.flatnonzero(conflict & fine[g])
+        # of each summary: its run, the row it stands at and the last one whose state it shows
+        run = np.concatenate([e, g[c], w, d])
+        row = np.concatenate([expired[e], c, whole[w], last[d]])
+        shown = np.concatenate([expired[e] - 1, c, whole[w], last[d]])
+        phase = np.repeat([0, 1, 1, 2], [len(e), len(c), len(w), len(d)])
+        order = np.lexsort((phase, row))
+        run, row, shown, phase = run[order], row[order], shown[order], phase[order]
+        refused = (phase == 1) & conflict[row]
+        complete = (phase == 1) & (whole[run] <= row)
+        timed = (phase == 2) | (expired[run] <= row)
+        revision = complete.astype(np.int64) + timed
+        status = np.where(complete, "complete", np.where(timed, "timed_out", "open"))
+        outcome = np.where(refused, "conflict", np.where(complete, np.where(timed, "late-completed", "completed"), "expired"))
+        reach = np.append(at, 0)
+        final = np.where(complete, reach[whole[run]], np.where(phase == 2, end_ms or 0, reach[expired[run]]))
+        names = [NAMES[x] for x in status]
+        tails = ["timed-out" if x == "TimedOut" else x.lower() for x in names]
+        ids = self.batch.column("run_id").take(pa.array(self.first[run])).to_pylist()
+        total, success, failure = self._upto(self.sums, taken)[shown].T
+        buckets = self._upto(self.counts, taken)[shown]
+        p50, p95, p99 = (self._quantile(buckets, q) for q in (0.5, 0.95, 0.99))
+        bins = ",".join(f"{b}=%d" for b in self.bounds)
+        latest = np.maximum.accumulate(np.where(taken, rows, 0))[shown]
+        memo: dict[tuple[int, int], str] = {}
+        missing = []
+        for seen in zip(self.of[run].tolist(), self._upto(np.int64(1) << self.i, taken)[shown].tolist(), strict=True):
+            if seen not in memo:
+                memo[seen] = ",".join(str(i) for i in range(seen[0]) if not seen[1] >> i & 1)
+            missing.append(memo[seen])
+        columns = {
+            "run_id": ids, "event_id": [f"{r}:summary:r{n}:{t}" for r, n, t in zip(ids, revision.tolist(), tails, strict=True)], "scenario_id": self.batch.column("scenario_id").take(pa.array(self.first[run])), "revision": revision, "status": names,
+            "received": received[shown], "expected": self.of[run], "missing": missing, "total": total, "success": success, "failure": failure, "p50_ms": p50, "p95_ms": p95, "p99_ms": p99,
+            "histogram": [bins % tuple(x) for x in buckets.tolist()], "errors": self._errors(taken, shown), "first_ms": at[self.first][run], "last_ms": at[latest],
+            "finalized_ms": pa.array(final, pa.int64(), mask=~(complete | timed)), "outcome": outcome.tolist(),
+        }
+        return pa.RecordBatch.from_arrays([v if isinstance(v, pa.Array) else pa.array(v, f.type) for f, v in zip(SCHEMA, (columns[f.name] for f in SCHEMA), strict=True)], schema=SCHEMA)
+
+    def _quantile(self, buckets: np.ndarray, q: float) -> np.ndarray:
+        shown, last = [], 0
+        for b in self.bounds:
+            last = b if b < (1 << 64) - 1 else last
+            shown.append(last)
+        upto = np.cumsum(buckets, axis=1)
+        total = upto[:, -1]
+        at = (upto >= np.maximum(1, np.ceil(total * q))[:, None]).argmax(1)
+        return np.where(total > 0, np.array(shown, np.int64)[at], 0)
+
+    def _errors(self, taken: np.ndarray, shown: np.ndarray) -> list[str]:
+        names = sorted(self.kinds)
+        place = np.array([names.index(k) for k in self.kinds], np.int64)[self.kind]
+        amounts, there = np.zeros((len(taken), len(names)), np.int64), np.zeros((len(taken), len(names)), np.int64)
+        amounts[self.owner, place], there[self.owner, place] = self.amounts, 1
+        amounts, there = self._upto(amounts, taken)[shown].tolist(), self._upto(there, taken)[shown].tolist()
+        return [",".join(f"{k}={n}" for k, n, x in zip(names, some, has, strict=True) if x) for some, has in zip(amounts, there, strict=True)]
+
+
+def _fold(partial_ms: int, end_ms: int | None):
+    """Batches of rows, sorted by run and ORDER, to batches of the log."""
+
     def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, run_id = Run(None, partial_ms), None
 
         def ended() -> list[dict]:
             return [now.summary(run_id, "expired")] if run_id is not None and end_ms is not None and now.expire(end_ms) else []
 
-        for batch in batches:
+        def stepped(part: pa.RecordBatch) -> list[dict]:
+            nonlocal now, run_id
             out = []
-            for row in batch.to_pylist():
+            for row in part.to_pylist():
                 if row["run_id"] != run_id:
                     out += ended()
                     now, run_id = Run(None, partial_ms), row["run_id"]
@@ -239,11 +403,43 @@ def replayed(rows: DataFrame, partial_ms: int = 60_000, end_ms: int | None = Non
                 outcome, new = now.take(row)
                 if new or outcome in REFUSED:
                     out.append(now.summary(run_id, outcome))
+            return out
+
+        for batch in batches:
+            ids = batch.column("run_id")
+            starts = np.flatnonzero(pc.not_equal(ids[1:], ids[:-1]).to_numpy(zero_copy_only=False)) + 1 if len(batch) and not ids.null_count else []
+            if len(starts) < 2:
+                yield pa.RecordBatch.from_pylist(stepped(batch), schema=SCHEMA)
+                continue
+            # the first and the last run may go on in other batches
+            begin, end = int(starts[0]), int(starts[-1])
+            out = stepped(batch.slice(0, begin))
+            inner = pa.RecordBatch.from_arrays([pa.concat_arrays([c]) if not c.offset else c.take(pa.array(np.arange(len(c)))) for c in batch.slice(begin, end - begin).columns], schema=batch.schema)
+            marks = np.zeros(end - begin, np.int64)
+            marks[starts[1:-1] - begin] = 1
+            plain = _Plain(inner, np.cumsum(marks), len(starts) - 1)
+            if not plain.odd.all():
+                yield plain.log(partial_ms, end_ms)
+            for k in np.flatnonzero(plain.odd):
+                out += stepped(batch.slice(int(starts[k]), int(starts[k + 1] - starts[k])))
+            out += stepped(batch.slice(end))
             yield pa.RecordBatch.from_pylist(out, schema=SCHEMA)
         yield pa.RecordBatch.from_pylist(ended(), schema=SCHEMA)
 
-    dealt = rows.select([f.split()[0] for f in INPUT.split(", ")]).repartition("run_id").sortWithinPartitions("run_id", *ORDER)
-    return dealt.mapInArrow(fold, OUTPUT)
+    return fold
+
+
+def replayed(rows: DataFrame, partial_ms: int = 60_000, end_ms: int | None = None, dealt: bool = False) -> DataFrame:
+    """The same log from a bounded table, in order of time; at ``end_ms`` the deadlines of runs that are still open are looked at once more.
+
+    Rows are dealt and sorted by run and folded as they pass, so a task holds one run's state and no group is collected.
+    Plain runs that lie within a batch are folded together. ``dealt`` says that a run's rows come in one partition and follow
+    each other by ORDER already.
+    """
+
+    names = [f.split()[0] for f in INPUT.split(", ")]
+    ready = rows.select(names) if dealt else rows.select(names).repartition("run_id").sortWithinPartitions("run_id", *ORDER)
+    return ready.mapInArrow(_fold(partial_ms, end_ms), OUTPUT)
 
 
 def poison(log: DataFrame) -> DataFrame:

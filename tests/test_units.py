@@ -1,10 +1,12 @@
 """Scalar functions, the protobuf codec, the run state machine, leases and the sources, on small cases."""
 
 import datetime as dt
+import decimal
 import hashlib
 import json
 import random
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -404,3 +406,35 @@ def test_paced_slices_of_a_scenario_follow_each_other(spark):
     assert all(a[3] <= b[3] for a, b in zip(got, got[1:], strict=False) if a[0] == b[0])
     changes = sum(a[:3] != b[:3] for a, b in zip(got, got[1:], strict=False))
     assert changes == len(places) - 1
+
+
+def test_plain_runs_are_folded_together(monkeypatch):
+    """Random rows, some of them odd, give in batches of any length what the state machine gives; plain runs within a batch do not pass it row by row."""
+    rng, rows = random.Random(5), []
+    for r in range(400):
+        slices, odd = rng.choice([1, 2, 3, 7]), r % 5 == 0
+        for _ in range(rng.randrange(1, 9)):
+            i, at = rng.randrange(slices), rng.choice([1000, 1500, 61_000, 61_001, 200_000])
+            row = {**result(i, at, slices=slices, total=rng.randrange(9)), "run_id": f"r{r:03}", "execution_key": f"e{i}" + rng.choice(["", "", "x"]), "bounds": [10, 100, 2**64 - 1]}
+            row |= {"success": row["total"], "counts": [rng.randrange(4) for _ in range(3)], "errors": dict.fromkeys(rng.sample("cab", rng.randrange(3)), rng.randrange(3))}
+            if odd and rng.random() < 0.3:
+                row |= rng.choice([{"slice_index": 70}, {"slice_index": -1}, {"slices": 9}, {"scenario_id": None}, {"bounds": [10, 101, 2**64 - 1]}, {"execution_key": "e"}, {"kind": "register"}, {"kind": "cancel"}, {"kind": "tick"}, {"total": 2**53}, {"errors": None}])
+            rows.append(row)
+    rows.sort(key=lambda x: (x["run_id"], *(x[c] for c in runs.ORDER)))
+    numbers = {"int": pa.int32(), "long": pa.int64(), "string": pa.string(), "array<decimal(20,0)>": pa.list_(pa.decimal128(20, 0)), "array<long>": pa.list_(pa.int64()), "map<string,long>": pa.map_(pa.string(), pa.int64())}
+    types = [f.split(" ") for f in runs.INPUT.split(", ")]
+    schema = pa.schema([(n, numbers[t]) for n, t in types])
+    made = [{n: [decimal.Decimal(b) for b in r[n]] if n == "bounds" else list((r[n] or {}).items()) if n == "errors" else r.get(n) for n, _ in types} for r in rows]
+    batches = lambda n: [pa.RecordBatch.from_pylist(made[k : k + n], schema=schema) for k in range(0, len(made), n)]
+    log = lambda n, end: sorted((repr(x) for b in runs._fold(60_000, end)(iter(batches(n))) for x in b.to_pylist()))
+    took, take = [], runs.Run.take
+    monkeypatch.setattr(runs.Run, "take", lambda self, row: took.append(row) or take(self, row))
+    for end in (None, 61_000, 1 << 40):
+        want = log(1, end)
+        assert len(took) == len(rows)
+        took.clear()
+        for n in (7, 50, len(rows)):
+            assert log(n, end) == want
+        took.clear()
+        assert log(len(rows), end) == want and 0 < len(took) < len(rows) // 3
+        took.clear()
